@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bytebpe
+from threadloom.llm import bytebpe, spam
 from threadloom.sources.tables import table
 
 
@@ -10,6 +10,10 @@ def p7_ids(spark, d):
     return bytebpe.token_ids(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p9_found(spark, d):
+    return spam.list_pages(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
