@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bytebpe, spam
+from threadloom.llm import bytebpe, language, spam
 from threadloom.sources.tables import table
 
 
+def p5_found(spark, d):
+    return language.faulty_labels(table(spark, d, "documents"))
+
+
+def p5_documents(spark, d):
+    return language.document_languages(table(spark, d, "documents"))
+
+
+def p5_segments(spark, d):
+    return language.language_segments(table(spark, d, "documents"))
+
+
 def p7_ids(spark, d):
     return bytebpe.token_ids(table(spark, d, "documents"))
 
@@ -14,6 +26,6 @@ def p9_found(spark, d):
     return spam.list_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found}
+QUERIES = {"p5_found": p5_found, "p5_documents": p5_documents, "p5_segments": p5_segments, "p7_ids": p7_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
