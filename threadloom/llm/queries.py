@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bytebpe, language, names, nearest, spam, splitting
+from threadloom.llm import broken_pairs, bytebpe, language, names, nearest, spam, splitting
 from threadloom.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def p2_pieces(spark, d):
     return splitting.split_items(_items(spark, d))
 
 
+def p3_found(spark, d):
+    return broken_pairs.defects(table(spark, d, "items"), language.fitted(table(spark, d, "documents")))
+
+
 def p4_nearest(spark, d):
     return nearest.match_events(table(spark, d, "matches"), table(spark, d, "event_records"))
 
@@ -54,7 +58,7 @@ def p9_found(spark, d):
     return spam.list_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_nearest, p5_found, p5_documents, p5_segments, p6_found, p6_links, p7_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p4_found, p4_nearest, p5_found, p5_documents, p5_segments, p6_found, p6_links, p7_ids, p9_found)}
 
 NEAREST = """WITH e AS (SELECT doc_id, event_ts, unnest(qids) AS q FROM event_records WHERE event_ts IS NOT NULL),
 n AS (SELECT m.private_id, m.anchor_qid, e.doc_id AS public_id, m.private_ts, e.event_ts, abs(epoch_us(e.event_ts) - epoch_us(m.private_ts)) AS distance
