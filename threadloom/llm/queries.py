@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import broken_pairs, bytebpe, language, names, nearest, spam, splitting
+from threadloom.llm import broken_pairs, bytebpe, language, mixing, names, nearest, spam, splitting
 from threadloom.sources.tables import table
 
 
@@ -54,11 +54,19 @@ def p7_ids(spark, d):
     return bytebpe.token_ids(table(spark, d, "documents"))
 
 
+def p8_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+def p8_shares(spark, d):
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
 def p9_found(spark, d):
     return spam.list_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p4_found, p4_nearest, p5_found, p5_documents, p5_segments, p6_found, p6_links, p7_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p4_found, p4_nearest, p5_found, p5_documents, p5_segments, p6_found, p6_links, p7_ids, p8_mix, p8_shares, p9_found)}
 
 NEAREST = """WITH e AS (SELECT doc_id, event_ts, unnest(qids) AS q FROM event_records WHERE event_ts IS NOT NULL),
 n AS (SELECT m.private_id, m.anchor_qid, e.doc_id AS public_id, m.private_ts, e.event_ts, abs(epoch_us(e.event_ts) - epoch_us(m.private_ts)) AS distance
