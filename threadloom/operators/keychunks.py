@@ -13,21 +13,15 @@ most ``max_cut_keys`` keys can hold more than one chunk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import written
+
 MIN_CHUNK_ROWS = 4096
 MAX_CUT_KEYS = 10_000
 
 
-def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    """Null-safe equality on columns."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & a[c].eqNullSafe(b[c])
-    return out
-
-
 def chunk_size(states: int, least: int = MIN_CHUNK_ROWS, max_cut_keys: int = MAX_CUT_KEYS) -> int:
     """Rows of a chunk: at least `least`, and so many that max_cut_keys bounds the keys cut."""
     return max(least, -(-states // max_cut_keys))
@@ -108,9 +102,10 @@ def key_profiles(pairs: DataFrame, chunk_rows: int | None = None) -> DataFrame:
         .groupBy("key_field", "key_text", "partner")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("days").alias("lo"), F.max("days").alias("hi"))
     )
+    states = written(states, "key-states")  # read three times further on: counts, cells and numbers
     keys = ["key_field", "key_text"]
-    if chunk_rows is None:  # the rows of pairs bound the states; this count is read from Parquet footers
-        chunk_rows = chunk_size(2 * pairs.count())
+    if chunk_rows is None:
+        chunk_rows = chunk_size(states.count())
     numbered = number_in_chunks(states, keys, "partner", chunk_rows)
     chunks = numbered.groupBy(*keys, "chunk").agg(
         F.sum("rows").alias("pairs"),
