@@ -123,6 +123,7 @@ def test_text(spark):
     assert one(spark, "TAGS: PREL, ETRD, X1\nSUBJECT:  Talks on water \nrest", text.tags_in(F.col("c")), text.subject_of(F.col("c"))) == (["PREL", "ETRD"], "Talks on water")
     cable = "VZCZ ROUTING\nFM EMBASSY\n 1. (SBU) The envoy said so.\nSIPDIS\n\n2. (C//NF) More.\nSMITH"
     assert one(spark, cable, text.narrative_body(F.col("c"))) == ("1.  The envoy said so.\n2.  More.",)
+    assert [one(spark, x, text.narrative_body(F.col("c")))[0] for x in ("", " \n", None, "SMITH")] == ["", "", None, "SMITH"]
     assert one(spark, "he met OSTTUGÅRD there", text.written_as(F.lit("Anna Osttugård"), F.col("c")), text.passage_span(F.col("c"), F.lit("zz"))) == ("OSTTUGÅRD", (0, 22))
     assert one(spark, "x" * 20, text.clip(F.col("c"), 10), text.windows(F.col("c"), 8, 2)) == ("x" * 10 + text.CLIPPED, [(0, "x" * 8), (6, "x" * 8), (12, "x" * 8)])
     assert one(spark, "enwiki:Q1:2", text.ref_source(F.col("c")), text.ref_id(F.col("c"))) == ("enwiki", "Q1:2")

@@ -83,7 +83,7 @@ def narrative_body(c: Column) -> Column:
     body = F.when(at > 0, F.substring(c, at, F.length(c))).otherwise(c)
     marked = F.regexp_replace(F.regexp_replace(body, CLASSIFICATION, ""), MARKER_LINE, "")
     lines = F.filter(F.split(strip(marked), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: strip(x) != "")
-    last = strip(F.element_at(lines, -1))
+    last = strip(F.try_element_at(lines, F.lit(-1)))
     short = (F.size(lines) > 1) & (F.length(last) <= 30) & (F.size(F.split(last, r"\s+")) <= 3)
     return F.array_join(F.when(short, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines), "\n")
 

@@ -170,7 +170,7 @@ def sanctions(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.format("xml").option("rowTag", "target").schema(TARGET).load(path)
     programmes = spark.read.format("xml").option("rowTag", "sanctions-program").schema(PROGRAMME).load(path)
-    english = lambda c: F.filter(c, lambda x: x["_lang"] == "eng")[0]["_VALUE"]
+    english = lambda c: F.try_element_at(F.filter(c, lambda x: x["_lang"] == "eng"), F.lit(1))["_VALUE"]
     sets = programmes.select(F.trim(english("`program-name`")).alias("programme"), F.trim(english("`program-key`")).alias("programme_key"), "origin", F.posexplode("`sanctions-set`").alias("pos", "s"))
     entry = sets.select(F.col("s._ssid").alias("sanctions_set_id"), "programme", "programme_key", "origin", F.coalesce(F.when(F.col("s._lang") == "eng", F.trim("s._VALUE")), F.lit("")).alias("measures"), "pos")
     # the first entry of a set, but one with measures before one without
@@ -180,8 +180,8 @@ def sanctions(spark: SparkSession, path: str) -> DataFrame:
     when = lambda kind: F.filter(F.transform(F.filter("modification", lambda m: m["_modification-type"] == kind), lambda m: F.coalesce(F.nullif(m["_publication-date"], F.lit("")), m["_enactment-date"])), lambda x: x.isNotNull())
     made = rows.select(
         F.col("_ssid").alias("doc_id"), F.when(F.col("individual").isNotNull(), "individual").when(F.col("entity").isNotNull(), "entity").alias("type"), names.alias("names"),
-        F.filter(F.flatten(F.transform("individual.identity", lambda i: F.transform(i["day-month-year"], lambda x: x["_year"]))), lambda x: x.isNotNull()).alias("dobs"), F.element_at("sanctions-set-id", -1).alias("sanctions_set_id"),
-        F.coalesce(F.element_at("individual.justification", -1), F.element_at("entity.justification", -1), F.lit("")).alias("justification"),
+        F.filter(F.flatten(F.transform("individual.identity", lambda i: F.transform(i["day-month-year"], lambda x: x["_year"]))), lambda x: x.isNotNull()).alias("dobs"), F.try_element_at("sanctions-set-id", F.lit(-1)).alias("sanctions_set_id"),
+        F.coalesce(F.try_element_at("individual.justification", F.lit(-1)), F.try_element_at("entity.justification", F.lit(-1)), F.lit("")).alias("justification"),
         F.try_element_at(when("listed"), F.lit(1)).alias("added"), F.try_element_at(when("de-listed"), F.lit(1)).alias("removed"),
     )
     return made.filter(F.coalesce(F.size("names"), F.lit(0)) > 0).join(F.broadcast(pick) if pick.limit(100_001).count() <= 100_000 else pick, "sanctions_set_id", "left").select("*", "p.*").drop("p")
