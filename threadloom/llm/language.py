@@ -39,6 +39,8 @@ SHORTENED = frozenset(
     """prof dr min amb hr fr mr mrs ms mme mlle st sr sra dott ing hon rev gen col capt lt comm auth assn fdn agcy univ inst soc off chbr publ accts
     mar insur med mtn rlys freed res welf trans surv navig inl bds for bd dept nat int intl gov art nr no vol ed""".split()
 )
+#: Short words that always have a capital in English or German, and are no names.
+CAPITALISED = frozenset("march april may june july marz mai juni juli".split())
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 250, 20_000
 BUCKETS = 1 << 15
 #: Words that a sentence has at least; shorter scraps belong to the sentence that follows.
@@ -132,10 +134,14 @@ class Sentences:
         short = np.fromiter((len(w) <= 1 or w in SHORTENED or (w.isdigit() and len(w) < 3) for w in folded), bool, len(folded))
         seen = {w for w, raw in zip(folded, s.distinct.to_pylist()) if raw[:1].islower()}
         common = np.fromiter((w in seen for w in folded), bool, len(folded))
+        sure = np.fromiter((w in CAPITALISED for w in folded), bool, len(folded))
         before = np.append(0, s.index[:-1])
         head_before = points[np.append(0, s.words[:-1])]
-        doubtful = ((head_before >= 65) & (head_before <= 90)) & (np.append(0, (s.word_end - s.words)[:-1]) <= 5)
-        start = text_first | blank | (ended & upper & ~short[before] & ~(doubtful & ~common[s.index]))
+        # a short word with a capital may be a name cut short; in capitals throughout nothing can be told by them
+        second = points[np.minimum(np.append(0, s.words[:-1]) + 1, len(points) - 1)]
+        doubtful = ((head_before >= 65) & (head_before <= 90)) & ~((second >= 65) & (second <= 90)) & (np.append(0, (s.word_end - s.words)[:-1]) <= 5) & ~sure[before]
+        twice = mark[s.words] - mark[gap] >= 2  # a shortened word at the end of a sentence
+        start = text_first | blank | (ended & upper & (twice | (~short[before] & ~(doubtful & ~common[s.index]))))
         at = np.flatnonzero(start)
         # scraps join the sentence after them, the last of a text the one before
         size = np.diff(np.append(at, n))
@@ -236,7 +242,9 @@ def segments(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 p = Pages(s)
                 texts = len(s.texts)
                 x = Sentences(s, p)
-                page = per_text(np.where(p.listed, p.span, 0), p.first) * 2 > s.text_end - s.texts
+                size = s.text_end - s.texts
+                listed, direct = (per_text(np.where(f, p.span, 0), p.first) for f in (p.listed, p.direct))
+                page = (listed * 2 > size) & (direct * 8 > size)
                 counted = x.prose.astype(bool) & ~page[x.text] if len(x.first) else np.zeros(0, bool)
                 best, sure = decode(sentence_margins(s, x, weights))
                 first, text, best, sure = x.first[counted], x.text[counted], best[counted], sure[counted]
