@@ -51,13 +51,13 @@ def test_bridges_and_pairs(spark):
     b = {r.qid: r for r in links.build_bridges(df).collect()}
     assert b["Q1"].private == ["p1", "p2"] and b["Q1"].public == ["u1", "u2"] and b["Q2"].public_count == 0
     assert {tuple(r) for r in links.surface_counts(df).collect()} == {("Q1", "Iran", 3), ("Q1", "IRAN", 1), ("Q2", "x", 1)}
-    kept = links.bridging(links.build_bridges(df))
-    assert [r.qid for r in kept.collect()] == ["Q1"] and links.bridging(links.build_bridges(df), 1).count() == 0
+    assert [r.qid for r in links.build_bridges(df, 200).collect()] == ["Q1"] == [r.qid for r in links.build_bridges(df, 0).collect()] and links.build_bridges(df, 1).count() == 0
+    kept = links.bridge_sides(df)
     days = spark.createDataFrame([("p1", date(2006, 1, 1)), ("u1", date(2006, 2, 1)), ("u2", date(1950, 1, 1)), ("p2", None)], "doc_id string, date date")
     got = {(r.private_id, r.public_id): (r.days_apart, r.same_period) for r in links.pair_documents(kept, days).collect()}
     assert got == {("p1", "u1"): (31, True), ("p1", "u2"): (-20454, False), ("p2", "u1"): (None, False), ("p2", "u2"): (None, False)}
-    wide = spark.createDataFrame([("Q", [f"a{i:02d}" for i in range(20)], [f"b{i:02d}" for i in range(20)])], "qid string, private array<string>, public array<string>")
-    assert links.pair_documents(wide, days, cap=25).count() == 25
+    wide = spark.createDataFrame([("Q", s, f"{s[1]}{i:02d}") for i in range(20) for s in ("private", "public")], "qid string, side string, doc_id string")
+    assert sorted(r.private_id for r in links.pair_documents(wide, days, cap=25).collect()) == ["r00"] * 20 + ["r01"] * 5
     with pytest.raises(Exception, match="unknown side"):
         links.build_bridges(df.withColumn("side", F.lit("other"))).collect()
 

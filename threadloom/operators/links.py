@@ -27,43 +27,60 @@ def merge_links(first: DataFrame, second: DataFrame, keys: list[str], order: lis
     return best_mentions(both, keys, ["_set", *order]).drop("_set")
 
 
-def build_bridges(links: DataFrame) -> DataFrame:
-    """links (doc_id, side, qid, surface_form) inverted to one row an entity.
+def bridge_sides(links: DataFrame) -> DataFrame:
+    """qid, side, doc_id: each document of an entity once; links with a side other than private and public are an error.
 
-    qid, private and public (sorted sets of doc_ids), private_count, public_count. Rows without a qid take no part;
-    a side other than private and public is an error. The sets of an entity may be large: cap before use.
+    The long form of bridges: an entity may have any number of documents here, none of which meet in a task.
     """
     good = F.col("side").isin("private", "public")
     checked = links.filter(F.col("qid").isNotNull()).withColumn("side", F.when(good, F.col("side")).otherwise(F.raise_error(F.concat(F.lit("unknown side "), F.coalesce("side", F.lit("null"))))))
-    once = checked.select("qid", "side", "doc_id").distinct()
-    sets = once.groupBy("qid").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("doc_id")))).alias(s) for s in ("private", "public")])
-    return sets.withColumn("private_count", F.size("private")).withColumn("public_count", F.size("public"))
+    return checked.select("qid", "side", "doc_id").distinct()
 
 
-def surface_counts(links: DataFrame) -> DataFrame:
-    """qid, surface_form, times: how often each entity is written how; an empty or null form doesn't count."""
-    return links.filter(F.col("qid").isNotNull() & (F.coalesce("surface_form", F.lit("")) != "")).groupBy("qid", "surface_form").agg(F.count(F.lit(1)).alias("times"))
+def bridge_counts(sides: DataFrame) -> DataFrame:
+    """qid, private_count, public_count."""
+    return sides.groupBy("qid").agg(*[F.count_if(F.col("side") == s).alias(f"{s}_count") for s in ("private", "public")])
 
 
-def bridging(bridges: DataFrame, max_private: int = 200) -> DataFrame:
-    """Bridges with documents on both sides and at most max_private private ones (0: no cap)."""
-    kept = bridges.filter((F.col("private_count") > 0) & (F.col("public_count") > 0))
+def bridging(counts: DataFrame, max_private: int = 200) -> DataFrame:
+    """Entities with documents on both sides and at most max_private private ones (0: no cap)."""
+    kept = counts.filter((F.col("private_count") > 0) & (F.col("public_count") > 0))
     return kept.filter(F.col("private_count") <= max_private) if max_private else kept
 
 
-def pair_documents(bridges: DataFrame, dates: DataFrame, window_days: int = 90, cap: int | None = 50) -> DataFrame:
-    """Pairs of each bridge's private and public documents, the first `cap` in order; dates has doc_id, date.
+def build_bridges(links: DataFrame, max_private: int | None = None) -> DataFrame:
+    """links (doc_id, side, qid, surface_form) inverted to one row an entity: qid, private and public (sorted arrays), private_count, public_count.
+
+    Rows without a qid take no part. With max_private only bridging entities are gathered (bridging()): entities that are
+    named nearly everywhere are dropped by their counts before any list is made. The long form is bridge_sides().
+    """
+    sides = bridge_sides(links)
+    counts = bridge_counts(sides)
+    if max_private is not None:
+        counts = bridging(counts, max_private)
+    sets = sides.join(counts.select("qid"), "qid", "left_semi").groupBy("qid").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("doc_id")))).alias(s) for s in ("private", "public")])
+    return sets.join(counts, "qid").select("qid", "private", "public", "private_count", "public_count")
+
+
+def surface_counts(links: DataFrame) -> DataFrame:
+    """qid, surface_form, times: how often each entity is written how; an empty or null form doesn't count."""
+    return links.filter(F.col("qid").isNotNull() & (F.coalesce("surface_form", F.lit("")) != "")).groupBy("qid", "surface_form").agg(F.count(F.lit(1)).alias("times"))
+
+
+def pair_documents(sides: DataFrame, dates: DataFrame, window_days: int = 90, cap: int = 50, max_private: int = 200) -> DataFrame:
+    """Pairs of each bridging entity's private and public documents, the first `cap` in order; dates has doc_id, date.
 
     qid, private_id, public_id, days_apart (signed) and same_period (within the window; false where a date is missing).
-    The sides are sliced to the cap before they are exploded: no later document can be among the first pairs.
+    sides is bridge_sides(). Each side is ranked and cut to the cap before the sides meet: no later document can be among the
+    first pairs, so an entity gives cap x cap rows at most, however many documents it has.
     """
-    private, public = F.col("private"), F.col("public")
-    if cap:
-        private, public = F.slice(private, 1, cap), F.slice(public, 1, cap)
-    pairs = bridges.select("qid", F.explode(private).alias("private_id"), public.alias("_p")).select("qid", "private_id", F.explode("_p").alias("public_id"))
-    if cap:
-        row = F.row_number().over(Window.partitionBy("qid").orderBy("private_id", "public_id"))
-        pairs = pairs.withColumn("_i", row).filter(F.col("_i") <= cap).drop("_i")
+    kept = sides.join(bridging(bridge_counts(sides), max_private).select("qid"), "qid", "left_semi")
+    row = F.row_number().over(Window.partitionBy("qid", "side").orderBy("doc_id"))
+    first = kept.withColumn("_i", row).filter(F.col("_i") <= cap)
+    private = first.filter("side = 'private'").select("qid", F.col("doc_id").alias("private_id"))
+    public = first.filter("side = 'public'").select("qid", F.col("doc_id").alias("public_id"))
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("private_id", "public_id"))
+    pairs = private.join(public, "qid").withColumn("_i", order).filter(F.col("_i") <= cap)
     a = dates.select(F.col("doc_id").alias("private_id"), F.col("date").alias("_a"))
     b = dates.select(F.col("doc_id").alias("public_id"), F.col("date").alias("_b"))
     days = F.datediff("_b", "_a")

@@ -48,7 +48,7 @@ g AS (SELECT *, len(private) AS private_count, len(public) AS public_count FROM
 
 @query(BRIDGES + " SELECT qid, array_to_string(private, ' ') AS private, array_to_string(public, ' ') AS public, private_count, public_count FROM g")
 def bridge_build(spark, d):
-    made = links.bridging(links.build_bridges(ad.links(spark, d)))
+    made = links.build_bridges(ad.links(spark, d), max_private=200)
     return made.withColumn("private", F.array_join("private", " ")).withColumn("public", F.array_join("public", " "))
 
 
@@ -62,7 +62,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY private_id, public_
 SELECT qid, private_id, public_id, datediff('day', a.day, b.day) AS days_apart, coalesce(abs(datediff('day', a.day, b.day)) <= 90, false) AS same_period
 FROM r LEFT JOIN t a ON a.ref = private_id LEFT JOIN t b ON b.ref = public_id WHERE i <= 50""")
 def pair_capped(spark, d):
-    return links.pair_documents(links.bridging(links.build_bridges(ad.links(spark, d))), ad.dated_documents(spark, d))
+    return links.pair_documents(links.bridge_sides(ad.links(spark, d)), ad.dated_documents(spark, d))
 
 
 KEPT = "SELECT * FROM mentions WHERE confidence >= 0.5 AND NOT isnan(confidence) AND coalesce(entity_type, '') NOT IN ('DATE', 'TIME', 'CARDINAL', 'ORDINAL', 'QUANTITY', 'PERCENT', 'MONEY') AND qid IN (SELECT qid FROM entities)"
@@ -351,8 +351,8 @@ def stride_select(spark, d):
     return reports.strided(table(spark, d, "documents").select("doc_id", "origin"), "doc_id", 11, 500, F.contains(F.lower("origin"), F.lit("embassy"))).select("doc_id")
 
 
-@query("""WITH h AS (SELECT sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), coalesce(ref, chr(0)), coalesce(text, chr(0)))) AS x FROM documents), s AS (SELECT CAST(('0x' || x[1:2])::INT % 256 AS INT) AS s, count(*) AS n, sha256(string_agg(x, '' ORDER BY x)) AS x FROM h GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(x, '' ORDER BY s)) AS digest FROM s""")
+@query("""WITH h AS (SELECT sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), coalesce(ref, chr(0)), coalesce(text, chr(0)))) AS x FROM documents)
+SELECT count(*) AS rows, sha256(concat_ws('-', CAST(count(*) AS VARCHAR), CAST(sum(CAST('0x' || x[1:15] AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || x[16:30] AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || x[31:45] AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x' || x[46:60] AS HUGEINT)) AS VARCHAR))) AS digest FROM h""")
 def fingerprint(spark, d):
     return reports.table_fingerprint(table(spark, d, "documents"), ["doc_id", "ref", "text"])
 
