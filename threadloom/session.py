@@ -47,3 +47,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def parts(spark: SparkSession) -> int:
+    """Partitions that keep every core busy, and no fewer than the session's shuffles have."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores where its files make fewer parts than there are cores; a larger table stays as it is read.
+
+    Only for rows that Python reads next: by the hash of a key, so that a part holds the same rows if it is made again.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
