@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrowtext import joined_texts
+from threadloom.session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Code points handled at a time, whatever a batch holds; a longer text goes alone.
@@ -334,7 +335,7 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), batch_encoder(path).ids(b.column(1))], [key, "ids"])
 
-    rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    rows = spread(docs.select(F.col(key), F.col(text).cast("string").alias("_text")), key)
     return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
@@ -347,4 +348,4 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*keep, "tokens"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, tokens bigint")
+    return spread(docs.select(*keep, F.col(text).cast("string").alias("_text")), keep[0]).mapInArrow(run, f"{schema}, tokens bigint")

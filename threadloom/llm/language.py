@@ -20,9 +20,11 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.llm.spam import LONGEST_WORD, Pages, per_text, word_flags
 from threadloom.llm.words import Slice, fold, slices
+from threadloom.session import spread
 
 LANGUAGES = ("en", "de", "fr", "it", "es", "pt")
 #: Other notations of the languages, without region and in lower case.
@@ -220,7 +222,8 @@ def fitted(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int
     ids = [r[0] for r in chosen.filter(F.col("i") <= per_language).select("doc_id").distinct().collect()]
     if not ids:
         return np.zeros((BUCKETS, CODE.shape[1]), np.float32)
-    sample = docs.filter(F.col("doc_id").isin(ids)).select(named_language(F.col("lang")).alias("named"), "text")
+    few = docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
+    sample = docs.join(F.broadcast(few), "doc_id", "left_semi").select(named_language(F.col("lang")).alias("named"), "text")
     rows = sample.filter(F.col("named").isin(*LANGUAGES) & (F.length("text") <= chars)).limit(2 * len(ids)).collect()
     return fit([r.text for r in rows], [r.named for r in rows])
 
@@ -264,7 +267,7 @@ def segments(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(text[run_at], minlength=texts))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, texts), b.column(1).slice(at, texts), pa.ListArray.from_arrays(pa.array(offsets), rows)], ["doc_id", "lang", "segments"])
 
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("_text"))
+    rows = spread(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("_text")), "doc_id")
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, segments array<struct<{SEGMENT}>>")
 
 

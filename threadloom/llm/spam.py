@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.words import LETTER, NUMBER, SPACE, Slice, fold, slices
-from threadloom.session import written
+from threadloom.session import spread, written
 
 #: Common function words of English, German, French, Italian, Spanish and Portuguese, without accents.
 FUNCTION_WORDS = frozenset(
@@ -148,7 +148,8 @@ def pages(docs: DataFrame) -> DataFrame:
 
     host = F.coalesce(F.col("origin"), F.col("source"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", host.alias("host"), F.col("text").cast("string").alias("_text")).mapInArrow(
+    rows = spread(docs.select("doc_id", host.alias("host"), F.col("text").cast("string").alias("_text")), "doc_id")
+    return rows.mapInArrow(
         run, f"doc_id {kind}, host string, chars bigint, listed bigint, direct bigint, phrases array<struct<h: bigint, w: int>>"
     )
 
@@ -162,7 +163,7 @@ def list_pages(docs: DataFrame, least_hosts: int = 2) -> DataFrame:
     read = written(pages(docs).filter(F.col("listed") > 0).withColumn("row", F.expr("uuid()")), "pages")
     # two steps: first the distinct hosts of a phrase are combined on the map side, so no phrase is hot
     shown = read.select("host", F.explode("phrases.h").alias("h")).groupBy("h", "host").agg(F.count(F.lit(1)).alias("times"))
-    spread = shown.groupBy("h").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= least_hosts)
+    shared = shown.groupBy("h").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= least_hosts)
     likely = read.filter(F.col("listed") * 2 > F.col("chars"))
     uses = (
         likely.filter(F.col("direct") * 2 <= F.col("chars"))
@@ -172,7 +173,7 @@ def list_pages(docs: DataFrame, least_hosts: int = 2) -> DataFrame:
         .filter(F.col("w") > 0)
         .withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     )
-    salted = spread.select("h", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])).alias("salt"))
+    salted = shared.select("h", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])).alias("salt"))
     stitched = uses.join(salted, ["h", "salt"]).groupBy("row").agg(F.sum("w").alias("stitched"))
     return (
         likely.drop("phrases")
