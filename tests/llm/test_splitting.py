@@ -23,6 +23,7 @@ def test_strongest_joint_near_the_middle():
     assert pieces(text, 60, 0) == [(0, 50), (50, 100)]
     assert pieces("one two three four. five six seven eight", 25, 0)[0] == (0, 20)
     assert all(b - a <= 50 for a, b in pieces("x" * 1000, 50, 7))
+    assert len(pieces("." * 200_000, 4000, 250)) < 120 and len(pieces(" " * 200_000, 4000, 250)) < 120
     assert len(pieces("word and, more. " * 200_000, 4000, 250)) < 2000
 
 

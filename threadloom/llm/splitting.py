@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The strongest first.
-JOINTS = re.compile(r"(\n[^\S\n]*\n\s*)|(\s*\n\s*)|([.!?…。]+[\"'»”’)\]]*\s+)|([,;:–—]\s+)|(\s+)")
+JOINTS = re.compile(r"(\n[^\S\n]*\n\s*)|(\s*\n\s*)|((?<![.!?…。])[.!?…。]++[\"'»”’)\]]*+\s+)|([,;:–—]\s+)|(\s+)")
 #: A settings table of more rows isn't one, and is not broadcast.
 MOST_SETTINGS = 10_000
 
