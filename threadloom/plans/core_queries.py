@@ -152,7 +152,6 @@ def event_window(spark, d):
     return temporal.event_windows(ad.dated_documents(spark, d), entities, events, ad.labels(spark, d)).withColumn("public_ids", F.array_join("public_ids", " "))
 
 
-TOPICS = {"Q": "Wirtschaft"}
 CROSS_SQL = "(VALUES " + ", ".join(f"('{t}', '{c}')" for t, cs in temporal.CROSSWALK.items() for c in cs) + ") AS x(tag, cat)"
 TAGGED = "string_split(regexp_extract(text, 'TAGS:[ \\t]*([A-Z0-9_,\\t -]{3,200})', 1), ',')"
 
