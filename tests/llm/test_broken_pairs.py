@@ -35,3 +35,43 @@ def test_defects(spark, weights):
     assert defects(items.limit(0), weights).count() == 0
     long = spark.createDataFrame([(None, None, "word " * 100_000 + "end.", None)], "item_id string, question string, answer string, rationale string")
     assert defects(long, weights).count() in (0, 1)
+
+
+def test_every_similar_pair_is_linked_and_components_are_whole(spark, monkeypatch):
+    import random
+
+    from threadloom.llm import broken_pairs
+
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(40)]
+    sets = {}
+    for k in range(120):
+        w = base[:]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(40)] = rng.choice("xyz")
+        sets[f"{k:03}"] = sorted({hash(tuple(w[i : i + 5])) >> 4 for i in range(36)})
+    sets["other"] = [1]
+    near = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    want = {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])}
+    held = spark.createDataFrame(list(sets.items()), "id string, grams array<bigint>")
+    for block in (broken_pairs.BLOCK, 7):
+        monkeypatch.setattr(broken_pairs, "BLOCK", block)
+        got = broken_pairs.similar_openings(held).collect()
+        assert len(want) > 100 and len(got) == len(want) and {tuple(r) for r in got} == want
+    chain = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("b", "a"), ("a", "b"), ("c", "c")]
+    rng.shuffle(chain)
+    roots = dict(map(tuple, broken_pairs.components(spark.createDataFrame(chain, "a string, b string")).collect()))
+    assert roots == {f"{i:03}": "000" for i in range(1, 41)} | {"b": "a"}
+
+
+def test_a_cluster_is_judged_as_a_whole(spark):
+    from threadloom.llm.broken_pairs import refusal_openings
+
+    # each step changes one word at an end, so neighbours are similar and the ends are not; only the first two speak of declining
+    words = [f"w{i}" for i in range(60)]
+    openings = [" ".join(words[i : i + 40]) for i in range(6)]
+    rows = [(o, i < 2, i) for i, o in enumerate(openings)] + [("alone", True, 9), ("twice", True, 1), ("twice", True, 2)]
+    read = spark.createDataFrame(rows, "opening string, cue boolean, prompt bigint")
+    assert sorted(r.opening for r in refusal_openings(read).collect()) == ["alone", "twice"]
+    read = spark.createDataFrame([(o, i != 5, i) for i, o in enumerate(openings)], "opening string, cue boolean, prompt bigint")
+    assert sorted(r.opening for r in refusal_openings(read).collect()) == sorted(openings)

@@ -1,7 +1,7 @@
 """Defects of responses to questions (problem 3): empty, copied, refusal, truncated, other_language.
 
 The first sentence of a response, with names and figures as slots, is its opening. Openings are clustered by
-MinHash over their word shingles, each link verified; a cluster that recurs under unrelated prompts, says
+an exact similarity join of their word shingles and the components of its links; a cluster that recurs under unrelated prompts, says
 nothing of them and speaks of declining is a refusal template, and its members refuse. Copies are told by shingles
 shared with the question, languages by the classifiers of problem 5, and endings by what ends and what goes
 on in all complete sentences of the table: counts of the last words, with shorter contexts where a longer one is
@@ -36,7 +36,9 @@ CUES = re.compile(
 LABELS = frozenset(("yes", "no", "mixed", "not enough evidence"))
 #: Whole texts that hold nothing.
 NOTHING = frozenset("null none nil na n/a nan undefined tbd todo empty leer aucun aucune br p div nbsp - -- ? ...".split())
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 3
+SHINGLE, SIMILAR = 5, 0.8
+#: Openings of one side that meet in a cell of a shingle; what the rounding of a product with SIMILAR can come to.
+BLOCK, EPSILON = 1_000, 1e-9
 #: Prompts under which an opening must recur.
 PROMPTS = 2
 #: Share of final among all occurrences of a context from which it can end a sentence.
@@ -133,12 +135,6 @@ def ending(text: str) -> str:
     return "open"
 
 
-def minhash(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (shingles[:, None] ^ seeds[None]) * np.uint64(0x9E3779B97F4A7C15)
-        return (h ^ (h >> np.uint64(29))).min(axis=0)
-
-
 def read_responses(responses: DataFrame, weights: np.ndarray) -> DataFrame:
     """Each response (item_id, field_name, question, text) with what can be told from it alone."""
 
@@ -238,43 +234,75 @@ def broken_off(read: DataFrame, counts: DataFrame) -> DataFrame:
     return told.filter(~whole).select("item_id", "field_name")
 
 
+def similar_openings(held: DataFrame) -> DataFrame:
+    """a, b: every two ids of held (id, grams) that share at least SIMILAR of their shingles, the lesser id first.
+
+    Exact prefix filter: with the shingles of each opening ordered from the rarest on, two so similar openings share one
+    of their first size - SIMILAR * size + 1. Pairs that meet there and can still be similar by their sizes and places
+    are compared whole. A shingle of many openings is cut into blocks of about BLOCK of them on one side.
+    """
+    each = held.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    ranked = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("holders")), "gram")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("holders", "gram"))
+    prefix = F.col("size") - F.ceil(SIMILAR * F.col("size") - EPSILON) + 1
+    first = ranked.withColumn("place", place).filter((F.col("place") <= prefix) & (F.col("holders") > 1)).withColumn("blocks", F.floor(F.col("holders") / BLOCK) + 1)
+    left = first.select("gram", F.expr("pmod(xxhash64(id), blocks)").alias("block"), F.col("id").alias("a"), F.col("size").alias("m"), (F.col("size") - F.col("place")).alias("after_a"))
+    right = first.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("size").alias("n"), (F.col("size") - F.col("place")).alias("after_b"))
+    least = SIMILAR / (1 + SIMILAR) * (F.col("m") + F.col("n")) - EPSILON
+    fit = (F.col("a") < F.col("b")) & (F.least("m", "n") >= SIMILAR * F.greatest("m", "n") - EPSILON) & (1 + F.least("after_a", "after_b") >= least)
+    met = left.join(right, ["gram", "block"]).filter(fit).select("a", "b").distinct()
+    grams = lambda side: held.select(F.col("id").alias(side), F.col("grams").alias(f"grams_{side}"))
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    whole = met.join(grams("a"), "a").join(grams("b"), "b")
+    return whole.filter(shared >= SIMILAR * (F.size("grams_a") + F.size("grams_b") - shared) - EPSILON).select("a", "b")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, root: of each id in links (a, b) the least id that it is linked with, over any number of links.
+
+    Large and small stars in turn until nothing changes; each round is written, so lineage stays short.
+    """
+    edges, before = written(links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).filter("id <> root").distinct(), "links"), None
+    while True:
+        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)"))).first())
+        if state == before:
+            return edges
+        before = state
+        both = edges.union(edges.select("root", "id")).toDF("u", "v")
+        large = both.filter("v > u").join(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = written(small.select(F.explode(F.array("u", "v")).alias("id"), F.col("m").alias("root")).filter("id <> root").distinct(), "links")
+
+
 def refusal_openings(read: DataFrame) -> DataFrame:
     """opening of each template of refusal.
 
-    Openings equal word for word are counted first; distinct ones are linked to the least opening of each of their
-    MinHash buckets and to their neighbour there, if at least SIMILAR of their shingles are shared. A cluster is a
-    refusal if most of its members speak of declining and say nothing of their prompts; it must recur under PROMPTS
-    prompts, but an opening that nobody shares is judged by its own words.
+    Openings equal word for word are counted first; distinct ones are linked if at least SIMILAR of their shingles are
+    shared, and what links connect is a cluster. A cluster is a refusal if most of its members speak of declining and say
+    nothing of their prompts; it must recur under PROMPTS prompts, but an opening that nobody shares is judged by its
+    own words.
     """
     openings = read.filter(F.col("opening").isNotNull()).groupBy("opening").agg(
         F.min("prompt").alias("one"), F.max("prompt").alias("other"), F.count(F.lit(1)).alias("times"), F.sum(F.col("cue").cast("int")).alias("cues")
     )
 
-    def bands(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shingles(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        seeds = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(BANDS * ROWS)], np.uint64)
         for f in frames:
             rows = []
             for opening in f["opening"]:
                 w = opening.split(" ")
-                grams = sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + SHINGLE])) for i in range(max(1, len(w) - SHINGLE + 1))})
-                signs = minhash(np.array(grams, np.uint64), seeds).reshape(BANDS, ROWS)
-                rows += [(opening, [g >> 1 for g in grams], f"{i}:{xxhash.xxh64_hexdigest(s.tobytes())}") for i, s in enumerate(signs)]
-            yield pd.DataFrame(rows, columns=["opening", "grams", "bucket"])
-
-    buckets = openings.select("opening").mapInPandas(bands, "opening string, grams array<bigint>, bucket string")
-    order = Window.partitionBy("bucket").orderBy("opening")
-    linked = buckets.withColumn("n", F.lag(F.struct("opening", "grams")).over(order)).withColumn("m", F.first(F.struct("opening", "grams")).over(order))
-    pairs = linked.select("opening", "grams", F.explode(F.array("n", "m")).alias("to")).filter(F.col("to").isNotNull() & (F.col("to.opening") != F.col("opening")))
-    shared = F.size(F.array_intersect("grams", "to.grams"))
-    verified = pairs.filter(shared >= SIMILAR * (F.size("grams") + F.size("to.grams") - shared)).select("opening", F.col("to.opening").alias("to")).distinct()
-    sides = verified.union(verified.select("to", "opening")).union(openings.select("opening", F.col("opening").alias("to")))
-    around = sides.toDF("opening", "to").join(openings.withColumnRenamed("opening", "to"), "to").groupBy("opening").agg(
-        F.sum("times").alias("times"), F.sum("cues").alias("cues"), F.min("one").alias("one"), F.max("other").alias("other")
-    )
+                rows.append(sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + SHINGLE])) >> 1 for i in range(max(1, len(w) - SHINGLE + 1))}))
+            yield f.assign(grams=rows)
+
+    counted = "id string, opening string, one bigint, other bigint, times bigint, cues bigint"
+    held = written(openings.select(F.md5("opening").alias("id"), "opening", "one", "other", "times", "cues").mapInPandas(shingles, counted + ", grams array<bigint>"), "openings")
+    rooted = held.drop("grams").join(components(similar_openings(held.select("id", "grams"))), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    clusters = rooted.groupBy("root").agg(F.sum("times").alias("times"), F.sum("cues").alias("cues"), F.min("one").alias("one"), F.max("other").alias("other"))
     recurs = F.col("one") != F.col("other") if PROMPTS == 2 else F.lit(True)
-    return around.filter((F.col("cues") * 2 > F.col("times")) & (recurs | (F.col("times") == 1))).select("opening")
+    refusing = clusters.filter((F.col("cues") * 2 > F.col("times")) & (recurs | (F.col("times") == 1))).select("root")
+    return rooted.join(refusing, "root", "left_semi").select("opening")
 
 
 def defects(items: DataFrame, weights: np.ndarray) -> DataFrame:
