@@ -75,3 +75,12 @@ def test_a_cluster_is_judged_as_a_whole(spark):
     assert sorted(r.opening for r in refusal_openings(read).collect()) == ["alone", "twice"]
     read = spark.createDataFrame([(o, i != 5, i) for i, o in enumerate(openings)], "opening string, cue boolean, prompt bigint")
     assert sorted(r.opening for r in refusal_openings(read).collect()) == sorted(openings)
+
+
+def test_an_opening_under_one_prompt_is_judged_by_its_own_cues(spark):
+    from threadloom.llm.broken_pairs import refusal_openings
+
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [("both fields", True, 1), ("both fields", True, 1), ("plain", False, 2), ("plain", False, 2), (near, True, 3), (near + " end", True, 3), ("one of three", True, 4), ("one of three", False, 4), ("one of three", False, 4)]
+    read = spark.createDataFrame(rows, "opening string, cue boolean, prompt bigint")
+    assert sorted(r.opening for r in refusal_openings(read).collect()) == ["both fields", near, near + " end"]

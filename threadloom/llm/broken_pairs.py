@@ -278,9 +278,9 @@ def refusal_openings(read: DataFrame) -> DataFrame:
     """opening of each template of refusal.
 
     Openings equal word for word are counted first; distinct ones are linked if at least SIMILAR of their shingles are
-    shared, and what links connect is a cluster. A cluster is a refusal if most of its members speak of declining and say
-    nothing of their prompts; it must recur under PROMPTS prompts, but an opening that nobody shares is judged by its
-    own words.
+    shared, and what links connect is a cluster. A cluster that recurs under PROMPTS prompts
+    is a refusal if most of its members speak of declining and say nothing of their prompts; an opening whose cluster stands
+    under one prompt only, however often, is judged by its own cues.
     """
     openings = read.filter(F.col("opening").isNotNull()).groupBy("opening").agg(
         F.min("prompt").alias("one"), F.max("prompt").alias("other"), F.count(F.lit(1)).alias("times"), F.sum(F.col("cue").cast("int")).alias("cues")
@@ -301,8 +301,8 @@ def refusal_openings(read: DataFrame) -> DataFrame:
     rooted = held.drop("grams").join(components(similar_openings(held.select("id", "grams"))), "id", "left").withColumn("root", F.coalesce("root", "id"))
     clusters = rooted.groupBy("root").agg(F.sum("times").alias("times"), F.sum("cues").alias("cues"), F.min("one").alias("one"), F.max("other").alias("other"))
     recurs = F.col("one") != F.col("other") if PROMPTS == 2 else F.lit(True)
-    refusing = clusters.filter((F.col("cues") * 2 > F.col("times")) & (recurs | (F.col("times") == 1))).select("root")
-    return rooted.join(refusing, "root", "left_semi").select("opening")
+    judged = rooted.join(clusters.select("root", recurs.alias("recurs"), (F.col("cues") * 2 > F.col("times")).alias("most")), "root")
+    return judged.filter(F.when(F.col("recurs"), F.col("most")).otherwise(F.col("cues") * 2 > F.col("times"))).select("opening")
 
 
 def defects(items: DataFrame, weights: np.ndarray) -> DataFrame:
