@@ -84,3 +84,11 @@ def test_an_opening_under_one_prompt_is_judged_by_its_own_cues(spark):
     rows = [("both fields", True, 1), ("both fields", True, 1), ("plain", False, 2), ("plain", False, 2), (near, True, 3), (near + " end", True, 3), ("one of three", True, 4), ("one of three", False, 4), ("one of three", False, 4)]
     read = spark.createDataFrame(rows, "opening string, cue boolean, prompt bigint")
     assert sorted(r.opening for r in refusal_openings(read).collect()) == ["both fields", near, near + " end"]
+
+
+def test_an_opening_is_the_whole_first_sentence(spark, weights):
+    from threadloom.llm.broken_pairs import read_responses
+
+    long = "it was said that " * 20
+    items = spark.createDataFrame([(e, "answer", "Who heard Ann Avon, and why?", f"{long}{e}.") for e in ("this cannot be discussed", "the quota was set in May")], "item_id string, field_name string, question string, text string")
+    assert {r.opening.split(" ", 80)[-1] for r in read_responses(items, weights).collect()} == {"this cannot be discussed", "the quota was set in n"}

@@ -180,7 +180,7 @@ def read_responses(responses: DataFrame, weights: np.ndarray) -> DataFrame:
                 cue = bool(CUES.search(fold(re.sub("’", "'", sentences(text)[0]))))
                 rows.append((
                     "other_language" if foreign else None, end if end in ("cut", "label") else None, [*contexts(last, len(last) - 1), *capital] if end in ("open", "label") and last else None,
-                    " ".join(fold(w) for w in template[:40]), cue and not specific, xxhash.xxh64_intdigest(question) >> 1,
+                    " ".join(fold(w) for w in template), cue and not specific, xxhash.xxh64_intdigest(question) >> 1,
                 ))
             columns = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.int64()]
