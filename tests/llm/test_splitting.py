@@ -38,3 +38,14 @@ def test_limits_nulls_repeats_and_clashing_columns(spark):
     assert rows[2].first_char == rows[0].chars - 3
     bare = with_settings(docs.selectExpr("'d' item_table", "'1' item_key", "source", "text"), sets.limit(0), "max_chars")
     assert split_items(bare).count() == 0 and split_items(items.limit(0)).count() == 0
+
+
+def test_a_run_that_fits_a_piece_is_not_cut():
+    for lead, run, tail, most in ((500, 1100, 500, 1900), (754, 3691, 0, 3750), (400, 700, 400, 1000), (0, 900, 300, 1000), (300, 1000, 0, 1000), (3000, 999, 3000, 1000)):
+        text = "w " * (lead // 2) + "x" * run + " w" * (tail // 2)
+        spans = pieces(text, most, 0)
+        assert all(b - a <= most for a, b in spans) and spans[-1][1] == len(text)
+        assert any(a <= lead and lead + run <= b for a, b in spans), (lead, run, spans)
+    # a longer run is cut as seldom as can be, and long texts don't take long
+    assert pieces("w " * 50 + "x" * 1300 + " w" * 50, 1000, 0) == [(0, 750), (750, 1500)]
+    assert len(pieces("a b " + "x" * 2_000_000, 4000, 250)) < 1100

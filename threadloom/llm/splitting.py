@@ -18,22 +18,55 @@ from pyspark.sql import functions as F
 
 #: The strongest first.
 JOINTS = re.compile(r"(\n[^\S\n]*\n\s*)|(\s*\n\s*)|((?<![.!?…。])[.!?…。]++[\"'»”’)\]]*+\s+)|([,;:–—]\s+)|(\s+)")
+#: Every joint ends with these.
+SPACE = re.compile(r"\s+")
 #: A settings table of more rows isn't one, and is not broadcast.
 MOST_SETTINGS = 10_000
 
 
-def joint(text: str, begin: int, end: int, reach: int) -> int:
-    """Where to cut text[begin:end]: after the strongest joint within reach of the middle, the nearest of its kind."""
+def strongest(text: str, begin: int, end: int, low: int, high: int) -> int:
+    """The end in low..high of the strongest joint, of its kind the nearest to the middle of begin..end; 0 if there is none."""
     middle = (begin + end) // 2
-    low, high = max(begin + 1, middle - reach), min(end - 1, middle + reach)
     best, at = (9, 0), 0
-    for m in JOINTS.finditer(text, low, high):
+    for m in JOINTS.finditer(text, max(begin, low - 1), high):
         cut = m.end()
         key = (m.lastindex, abs(cut - middle))
-        if key < best and cut < end:
+        if key < best and max(begin + 1, low) <= cut < end:
             best, at = key, cut
+    return at
+
+
+def around(text: str, begin: int, end: int) -> tuple[int, int]:
+    """Ends of the nearest joints on either side of the middle; begin or end where there is none."""
+    middle, reach = (begin + end) // 2, 64
+    while True:
+        low, high = max(begin, middle - reach), min(end, middle + reach)
+        cuts = [m.end() for m in SPACE.finditer(text, low, high)]
+        left, right = max((c for c in cuts if begin < c <= middle), default=begin), min((c for c in cuts if middle < c < end), default=end)
+        if (left > begin or low == begin) and (right < end or high == end):
+            return left, right
+        reach *= 4
+
+
+def joint(text: str, begin: int, end: int, most: int) -> int:
+    """Where to cut text[begin:end]: after the strongest joint near the middle, the nearest of its kind.
+
+    Without one there, a joint that leaves both halves within `most` is taken; else one beside the run that covers the
+    middle, if the run fits a piece or the text is long. Only a run that has to be cut is cut between two characters.
+    """
+    middle, size = (begin + end) // 2, end - begin
+    reach = max(1, min(size // 4, most // 2))
+    low, high = max(begin + 1, middle - reach), min(end - 1, middle + reach)
+    at = strongest(text, begin, end, low, high)
+    if not at and size <= 2 * most:
+        at = strongest(text, begin, end, max(begin + 1, end - most), min(end - 1, begin + most))
     if at:
         return at
+    left, right = around(text, begin, end)
+    if size > 2 * most or right - left <= most:
+        cuts = [c for c in (left, right) if begin < c < end]
+        if cuts:
+            return min(cuts, key=lambda c: abs(c - middle))
     at = middle
     # not before a mark that belongs to the character before it
     while at > low and (unicodedata.combining(text[at]) or text[at] in "‍️" or text[at - 1] == "‍"):
@@ -50,7 +83,7 @@ def parts(text: str, most: int) -> list[tuple[int, int]]:
         if size <= most:
             out.append((begin, end))
             continue
-        cut = joint(text, begin, end, max(1, min(size // 4, most // 2)))
+        cut = joint(text, begin, end, most)
         stack += [(cut, end), (begin, cut)]
     return out
 
