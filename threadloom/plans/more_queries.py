@@ -96,6 +96,23 @@ def search_verified(spark, d):
     return links.verified_search(asked, asked.select("name", F.col("bag").alias("label_bag")).join(found, "label_bag").select("name", "rank", "qid", "label_bag", "kinds", "years"))
 
 
+@query()
+def search_verified_all(spark, d):
+    # every name and label, with the accents, figures and other alphabets that the SQL of search_verified can't fold
+    names = ad.links(spark, d).select(F.col("surface_form").alias("name")).dropna().distinct()
+    asked = names.select("name", text.name_bag("name").alias("bag"), F.lit("person").alias("kind"), F.lit(None).cast("int").alias("year")).filter(F.size("bag") > 0)
+    e = table(spark, d, "entities").filter("label is not null and kind = 'person'")
+    found = e.select(F.col("qid").alias("rank"), "qid", text.name_bag("label").alias("label_bag"), F.array("kind").alias("kinds"), F.array().cast("array<int>").alias("years"))
+    return links.verified_search(asked, asked.select("name", F.col("bag").alias("label_bag")).join(found, "label_bag").select("name", "rank", "qid", "label_bag", "kinds", "years"))
+
+
+@query()
+def as_written_all(spark, d):
+    # every surface form, with the outer and doubled white space that as_written leaves out
+    e = ad.links(spark, d).filter("qid is not null and coalesce(surface_form, '') <> ''").select("doc_id", "qid", "surface_form").distinct()
+    return typed.spelled(e, table(spark, d, "documents").select(F.col("ref").alias("id"), "text"))
+
+
 @query("""WITH s AS (SELECT doc_id AS n, title, lang FROM documents WHERE title IS NOT NULL), k AS (SELECT title, lang, min(ref) AS q FROM documents WHERE title IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2), a AS (SELECT title, min(ref) AS q FROM documents WHERE title IS NOT NULL AND lang IS NULL GROUP BY 1)
 SELECT n AS doc_id, CASE WHEN coalesce(k.q, a.q) IS NOT NULL THEN 'Q' || coalesce(k.q, a.q) END AS qid FROM s LEFT JOIN k ON k.title = s.title AND k.lang = s.lang LEFT JOIN a ON a.title = s.title""")
 def title_lookup(spark, d):
