@@ -27,3 +27,18 @@ def test_search_and_spelling_read_every_row(spark, tmp_path):
     assert len(want) == 5 and {r["name"]: r.qid for r in entry.queries()["search_verified_all"](spark, d).collect()} == want
     got = {(r.doc_id, r.qid, r.surface_form) for r in entry.queries()["as_written_all"](spark, d).collect()}
     assert ("d", "Q1", " ann  avon ") in got and ("d", "Q1", "ann 2ND") in got
+
+
+def test_bodies_tags_and_all_gates_are_returned(spark, tmp_path):
+    cable = "TAGS: PREL, PGOV\nSUBJECT: AVON QUOTA\n\n 1. (C) Ann met Bob on the quota for two hours.\n\n 2. (C) Nothing came of it.\nAVON"
+    item = ("i", "Who met Bob Beal, and why?", "Ann Avon", [("private",), ("public",)], {"withheld": "Bob Beal"})
+    d = saved(
+        spark, tmp_path, documents=([(1, "cablegate", cable), (2, "cablegate", None)], "doc_id bigint, source string, text string"),
+        items=([item, ("j", *item[1:4], {"withheld": "Cid Coot"})], "item_id string, question string, answer string, evidence array<struct<side:string>>, provenance map<string,string>"),
+    )
+    [body] = entry.queries()["narrative_bodies"](spark, d).collect()
+    assert "Ann met Bob" in body.body and "SUBJECT" not in body.body and not body.body.endswith("AVON")
+    [tags] = entry.queries()["subject_tags"](spark, d).collect()
+    assert tags.tags == ["PREL", "PGOV"] and tags.subject.startswith("AVON QUOTA")
+    rows = {r.item_id: r for r in entry.queries()["gate_verdicts"](spark, d).collect()}
+    assert len(rows["i"]) == 13 and not rows["i"].withholds_what_it_was_told_to and rows["j"].withholds_what_it_was_told_to and rows["j"].not_referential

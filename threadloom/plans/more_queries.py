@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import sinks
 from threadloom.functions import dates, text
-from threadloom.operators import dictionary, links, temporal, typed
+from threadloom.operators import dictionary, gates, links, temporal, typed
 from threadloom.plans import adapters as ad
 from threadloom.sources.tables import table
 
@@ -164,6 +164,25 @@ def narrative(spark, d):
     return docs.select("doc_id", (F.length(body) >= 0).alias("has_text"), F.contains("text", F.lit("\n 1. (")).cast("int").alias("numbered"))
 
 
+@query()
+def narrative_bodies(spark, d):
+    # the body itself, whose cuts and markings the SQL of narrative doesn't follow
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", text.narrative_body(F.col("text")).alias("body"))
+
+
+@query()
+def subject_tags(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null and source = 'cablegate'")
+    return docs.select("doc_id", text.tags_in(F.col("text")).alias("tags"), text.subject_of(F.col("text")).alias("subject"))
+
+
+@query()
+def gate_verdicts(spark, d):
+    # all nine gates of each row
+    made = gates.judged(table(spark, d, "items").select("item_id", "question", "answer", "evidence", "provenance"))
+    return made.select("item_id", "question", "answer", *[F.element_at("gates", k).alias(k) for k in gates.gate_columns(*[F.lit("")] * 2, F.array(F.struct(F.lit("").alias("side"))), F.lit(""))], "accepted")
+
+
 @query("""WITH f AS (SELECT DISTINCT ref AS id, CAST(doc_ts AS DATE) AS day FROM documents WHERE doc_ts IS NOT NULL), e AS (SELECT DISTINCT doc_id, CAST(event_ts AS DATE) AS day, unnest(qids) AS qid FROM event_records WHERE event_ts IS NOT NULL), m AS (SELECT DISTINCT doc_ref, qid FROM mentions WHERE qid IS NOT NULL)
 SELECT f.id AS doc_id, e.doc_id AS r_event_id, m.qid, datediff('day', f.day, e.day) AS days FROM f JOIN m ON m.doc_ref = f.id JOIN e ON e.qid = m.qid WHERE abs(datediff('day', f.day, e.day)) <= 45""")
 def interval_join(spark, d):
