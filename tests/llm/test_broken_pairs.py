@@ -37,53 +37,108 @@ def test_defects(spark, weights):
     assert defects(long, weights).count() in (0, 1)
 
 
-def test_every_similar_pair_is_linked_and_components_are_whole(spark, monkeypatch):
+def shaken(n=120, words=40):
     import random
 
-    from threadloom.llm import broken_pairs
-
     rng = random.Random(7)
-    base = [f"w{i}" for i in range(40)]
-    sets = {}
-    for k in range(120):
+    base = [f"w{i}" for i in range(words)]
+    out = ["alone"]
+    for _ in range(n):
         w = base[:]
         for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(40)] = rng.choice("xyz")
-        sets[f"{k:03}"] = sorted({hash(tuple(w[i : i + 5])) >> 4 for i in range(36)})
-    sets["other"] = [1]
-    near = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
-    want = {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])}
-    held = spark.createDataFrame(list(sets.items()), "id string, grams array<bigint>")
-    for block in (broken_pairs.BLOCK, 7):
-        monkeypatch.setattr(broken_pairs, "BLOCK", block)
-        got = broken_pairs.similar_openings(held).collect()
-        assert len(want) > 100 and len(got) == len(want) and {tuple(r) for r in got} == want
+            w[rng.randrange(words)] = rng.choice("xyz")
+        out.append(" ".join(w))
+    return sorted(set(out))
+
+
+def brute_clusters(raws):
+    """Roots by linking every two texts of similarity 0.8 or more."""
+    def grams(raw):
+        w = raw.split(" ")
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [grams(r) for r in raws], list(range(len(raws)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(raws)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {frozenset(raws[i] for i in range(len(raws)) if find(i) == r) for r in {find(i) for i in range(len(raws))}}
+
+
+@pytest.mark.parametrize("block", [1_000, 7])
+def test_clusters_are_those_of_all_pairs(spark, monkeypatch, block):
+    from threadloom.llm import broken_pairs
+
+    monkeypatch.setattr(broken_pairs, "BLOCK", block)
+    # chains: each is similar to the next only
+    long = [f"v{i}" for i in range(80)]
+    raws = [*shaken(), *(" ".join(long[i : i + 40]) for i in range(0, 41, 2)), *(" ".join(long[i : i + 40]) + " z" for i in range(0, 41, 4))]
+    df = spark.createDataFrame([(f"{i:03}", r) for i, r in enumerate(raws)], "id string, raw string")
+    held = broken_pairs.signatures(df)
+    roots = {r.id: r.root for r in broken_pairs.clusters(held).collect()}
+    got = {}
+    for i, r in enumerate(raws):
+        got.setdefault(roots.get(f"{i:03}", f"{i:03}"), set()).add(r)
+    want = brute_clusters(raws)
+    assert 3 < len(want) < len(raws) and {frozenset(x) for x in got.values()} == want
     chain = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("b", "a"), ("a", "b"), ("c", "c")]
-    rng.shuffle(chain)
     roots = dict(map(tuple, broken_pairs.components(spark.createDataFrame(chain, "a string, b string")).collect()))
     assert roots == {f"{i:03}": "000" for i in range(1, 41)} | {"b": "a"}
 
 
-def test_a_cluster_is_judged_as_a_whole(spark):
+def read_rows(spark, rows):
+    """rows: raw, opening, named, nouns, cue, prompt"""
+    return spark.createDataFrame(rows, "raw string, opening string, named boolean, nouns array<string>, cue boolean, prompt bigint")
+
+
+def test_templates_recur_under_unrelated_prompts_and_give_no_answer(spark):
     from threadloom.llm.broken_pairs import refusal_openings
 
-    # each step changes one word at an end, so neighbours are similar and the ends are not; only the first two speak of declining
-    words = [f"w{i}" for i in range(60)]
-    openings = [" ".join(words[i : i + 40]) for i in range(6)]
-    rows = [(o, i < 2, i) for i, o in enumerate(openings)] + [("alone", True, 9), ("twice", True, 1), ("twice", True, 2)]
-    read = spark.createDataFrame(rows, "opening string, cue boolean, prompt bigint")
-    assert sorted(r.opening for r in refusal_openings(read).collect()) == ["alone", "twice"]
-    read = spark.createDataFrame([(o, i != 5, i) for i, o in enumerate(openings)], "opening string, cue boolean, prompt bigint")
-    assert sorted(r.opening for r in refusal_openings(read).collect()) == sorted(openings)
+    asked = spark.createDataFrame([("Avon",)], "word string")
+    rows = [
+        ("this request falls outside what can be told", "this request falls outside what can be told", False, [], False, 1), ("this request falls outside what can be told", "this request falls outside what can be told", False, [], False, 2),
+        ("sorry but this request falls outside what can be told", "sorry but this request falls outside what can be told", False, [], False, 3),  # alone, but with a phrase of the template
+        ("one prompt only and no cue", "one prompt only and no cue", False, [], False, 4), ("one prompt only and no cue", "one prompt only and no cue", False, [], False, 4),
+        ("alone with a cue", "alone with a cue", False, [], True, 5),
+        *[("it was ann avon", "it was n", True, [], False, i) for i in (6, 7)],  # a name, however often
+        *[(f"es war die {w}", "es war die n", False, [w.title()], False, i) for i, w in enumerate(["quote", "quote", "rente", "rente"], 8)],  # a slot filled anew
+        *[("man fragte in avon danach", "man fragte in n danach", False, ["Avon"], False, i) for i in (12, 13)],  # a capital that questions hold
+        *[(f"der rat wird gebeten zu klaren wie die {w} kommt", "der n wird gebeten zu klaren wie die n kommt", False, ["Rat", w.title()], False, 20 + i) for i, w in enumerate(["quote", "rente", "bahn"])],
+        *[("der rat wird gebeten zu klaren wie die sperre fur waren kommt", "der n wird gebeten zu klaren wie die n fur n kommt", False, ["Rat", "Sperre", "Waren"], False, i) for i in (30, 31)],  # its phrases are answers'
+        (None, None, None, None, None, 9),
+    ]
+    got = sorted(r.raw for r in refusal_openings(read_rows(spark, rows), asked).collect())
+    assert got == ["alone with a cue", "sorry but this request falls outside what can be told", "this request falls outside what can be told"]
+    assert refusal_openings(read_rows(spark, rows).limit(0), asked).count() == 0
 
 
-def test_an_opening_under_one_prompt_is_judged_by_its_own_cues(spark):
-    from threadloom.llm.broken_pairs import refusal_openings
+def test_refusals_are_found_without_any_cue_word(spark, weights, monkeypatch):
+    import re
+
+    from threadloom.llm import broken_pairs
+
+    monkeypatch.setattr(broken_pairs, "CUES", re.compile("(?!)"))
+    who = ["Ann Avon", "Bob Beal", "Cid Coot", "Dot Dane", "Eva Egg", "Fay Fox"]
+    said = ["I would leave that for others to tell you.", "I would leave that for others to tell you.", "As it is, I would leave that for others to tell you.", "It was Dot Dane of the Office for Trade.", "The committee heard Eva Egg for two hours.", "The mission asked whether"]
+    items = spark.createDataFrame([(f"i{i}", f"Who heard {w} on the budget?", a, None) for i, (w, a) in enumerate(zip(who, said))], "item_id string, question string, answer string, rationale string")
+    assert {r.item_id for r in defects(items, weights).filter("defect = 'refusal'").collect()} == {"i0", "i1", "i2"}
+
+
+def test_what_an_opening_answers():
+    from threadloom.llm.broken_pairs import answers
 
-    near = " ".join(f"w{i}" for i in range(40))
-    rows = [("both fields", True, 1), ("both fields", True, 1), ("plain", False, 2), ("plain", False, 2), (near, True, 3), (near + " end", True, 3), ("one of three", True, 4), ("one of three", False, 4), ("one of three", False, 4)]
-    read = spark.createDataFrame(rows, "opening string, cue boolean, prompt bigint")
-    assert sorted(r.opening for r in refusal_openings(read).collect()) == ["both fields", near, near + " end"]
+    none = frozenset()
+    assert [answers(x.split(), n, nouns) for x, n, nouns in (("It took 5 weeks", none, False), ("It was he", none, False), ("It was Ann", none, False), ("he asked Ann", frozenset(("Ann",)), True), ("Avon Office", none, False), ("I cannot say what I know", none, False))] == [
+        (True, []), (False, []), (True, []), (True, []), (True, []), (False, [])]
+    assert answers("Als Assistent kann ich diese Frage nicht beantworten".split(), none, True) == (False, ["Assistent", "Frage"])
+    assert answers("Gestern kam Ann T Avon".split(), none, True)[0] and answers("Gestern kam Ann Avon".split(), none, True)[0]
 
 
 def test_an_opening_is_the_whole_first_sentence(spark, weights):
@@ -91,4 +146,4 @@ def test_an_opening_is_the_whole_first_sentence(spark, weights):
 
     long = "it was said that " * 20
     items = spark.createDataFrame([(e, "answer", "Who heard Ann Avon, and why?", f"{long}{e}.") for e in ("this cannot be discussed", "the quota was set in May")], "item_id string, field_name string, question string, text string")
-    assert {r.opening.split(" ", 80)[-1] for r in read_responses(items, weights).collect()} == {"this cannot be discussed", "the quota was set in n"}
+    assert {r.raw.split(" ", 80)[-1] for r in read_responses(items, weights).collect()} == {"this cannot be discussed", "the quota was set in may"}

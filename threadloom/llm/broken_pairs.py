@@ -1,9 +1,10 @@
 """Defects of responses to questions (problem 3): empty, copied, refusal, truncated, other_language.
 
-The first sentence of a response, with names and figures as slots, is its opening. Openings are clustered by
-an exact similarity join of their word shingles and the components of its links; a cluster that recurs under unrelated prompts, says
-nothing of them and speaks of declining is a refusal template, and its members refuse. Copies are told by shingles
-shared with the question, languages by the classifiers of problem 5, and endings by what ends and what goes
+The first sentence of a response is its opening. Openings are clustered by MinHash of their word shingles, each link
+verified on the shingles themselves. A cluster that recurs under unrelated prompts and gives no answer (no figure, no
+name, no slot that is filled anew from prompt to prompt) is a refusal template, and its members refuse. An opening
+that recurs nowhere refuses if it gives no answer either and shares a phrase with such a template. Copies are told by
+shingles shared with the question, languages by the classifiers of problem 5, and endings by what ends and what goes
 on in all complete sentences of the table: counts of the last words, with shorter contexts where a longer one is
 unseen. At most one defect is given to a field, the first in the order above.
 """
@@ -18,14 +19,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from threadloom.llm.language import Features, decode
+from threadloom.llm.language import LANGUAGES, Features, decode
 from threadloom.llm.words import Slice, fold
 from threadloom.session import parts, written
 
-#: What speaks of declining, in folded English, German and French.
+#: What speaks of declining, in folded English, German and French. They only decide openings that give no
+#: answer and share no phrase with any template; without them all others are found alike.
 CUES = re.compile(
     r"\b(cannot|can not|can't|won't|unable|not able|not in a position|must (?:decline|refuse)|have to (?:decline|refuse)|declined?:|not have access|no access|not something to be|no comment"
     r"|inappropriate|not appropriate|outside what|beyond what|too sensitive|not (?:permitted|allowed|possible)|against (?:my|our) (?:policy|guidelines)|refrain from|prefer not|rather not|(?:i|we) decline to|won't (?:discuss|answer|comment|share)|do not (?:wish|want) to|could not be shared|cannot be (?:shared|discussed|answered|given)"
@@ -37,12 +39,14 @@ LABELS = frozenset(("yes", "no", "mixed", "not enough evidence"))
 #: Whole texts that hold nothing.
 NOTHING = frozenset("null none nil na n/a nan undefined tbd todo empty leer aucun aucune br p div nbsp - -- ? ...".split())
 SHINGLE, SIMILAR = 5, 0.8
-#: Openings of one side that meet in a cell of a shingle; what the rounding of a product with SIMILAR can come to.
+#: MinHash bands and the hashes of each: two openings of similarity 0.8 share a band with probability 0.9996.
+BANDS, ROWS = 20, 5
+#: Openings of one side that meet in a cell of a band; what the rounding of a product with SIMILAR can come to.
 BLOCK, EPSILON = 1_000, 1e-9
-#: Prompts under which an opening must recur.
-PROMPTS = 2
 #: Share of final among all occurrences of a context from which it can end a sentence.
 FINAL_SHARE = 0.1
+#: The language that writes nouns with a capital.
+NOUNS = LANGUAGES.index("de")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: What may follow a finished sentence: notes in brackets, marks, quotes.
 AFTER = re.compile(r"(?:\s*(?:\[[^\]]{0,12}\]|\([^)]{0,12}\)|[*†‡¹²³\"'»”’)\]]))+\s*$")
@@ -103,6 +107,21 @@ def masked(words: list[str], names: frozenset[str]) -> list[str]:
     return out
 
 
+def answers(words: list[str], names: frozenset[str], nouns: bool) -> tuple[bool, list[str]]:
+    """Whether an opening gives a figure, a name of its question or another name; and the capitals that may be names.
+
+    A name is a capital beyond the first word, or two in a row where the language writes its nouns with one (`nouns`): there
+    a single capital is a name if questions hold it, which is told later. An opening of nothing but capitals is a name.
+    """
+    up = [w[:1].isupper() and not (len(w) == 1 or w[1] in "'’") for w in words]
+    initial = [len(w) == 1 and w.isupper() for w in words]
+    if any(w[0].isdigit() or w in names and u for w, u in zip(words, up)) or not any(w[0].islower() for w in words):
+        return True, []
+    if not nouns:
+        return any(up[1:]), []
+    return any((a or i) and b for a, i, b in zip(up[1:], initial[1:], up[2:])), sorted({w for w, u in zip(words[1:], up[1:]) if u})
+
+
 def capital_context(words: list[str], at: int) -> str:
     """The word before the run of capitals that ends at `at`, which stands for any name."""
     i = at
@@ -112,7 +131,7 @@ def capital_context(words: list[str], at: int) -> str:
 
 
 def ending(text: str) -> str:
-    """`stop` finished, `cut` surely broken off, `open` to be told by its last words, `name` only names or figures, `label` a body's name alone."""
+    """`stop` finished, `cut` surely broken off, `open` to be told by its last words, `name` only names or figures, `label` names bound by one small word."""
     t = bare(text)
     stripped = AFTER.sub("", t).rstrip()
     if STOP.search(stripped) and not re.search(r"(\.\.|…)[\"'»”’)\]]*$", stripped):
@@ -129,9 +148,11 @@ def ending(text: str) -> str:
     if not words:
         return "stop"
     small = [w for w in words if w[0].islower()]
-    if len(small) <= 1 and len(words) <= 9 and all(w in ("for", "of", "days", "day", "jours", "jour", "the") for w in small) and words[-1] not in ("for", "of", "the"):
+    if len(words) == 2 and words[0][0].isdigit():  # a figure and what it counts
+        return "name"
+    if not small or (len(small) == 1 and not words[-1][0].islower()):
         # after whole sentences a bare name is the beginning of another
-        return "cut" if any(STOP.search(x) for x in before) and not words[-1].isdigit() else "label" if small and small[-1] in ("for", "of") else "name"
+        return "cut" if any(STOP.search(x) for x in before) and not words[-1].isdigit() else "label" if small else "name"
     return "open"
 
 
@@ -154,16 +175,16 @@ def read_responses(responses: DataFrame, weights: np.ndarray) -> DataFrame:
             rows = []
             questions, texts = ([x or "" for x in b.column(i).to_pylist()] for i in (2, 3))
             asked = languages(questions)
-            said = languages([re.sub(r"\b[A-ZÀ-Þ]\S*(?: for)?(?= [A-ZÀ-Þ])", " ", t) if len(t) < 200 else t for t in texts])
+            said = languages([re.sub(r"\b[A-ZÀ-Þ]\S*(?: for)?(?= [A-ZÀ-Þ])", " ", t) for t in texts])
             for i, (question, text, given) in enumerate(zip(questions, texts, b.column(3).to_pylist())):
                 if is_empty(given):
-                    rows.append(("empty", None, None, None, None, None))
+                    rows.append(("empty", *[None] * 9))
                     continue
                 if bare(text).lower().strip(".") in LABELS:
-                    rows.append((None, None, None, None, None, None))
+                    rows.append([None] * 10)
                     continue
                 if is_copy(question, text):
-                    rows.append(("copied", None, None, None, None, None))
+                    rows.append(("copied", *[None] * 9))
                     continue
                 words = units(text)
                 small = sum(w[0].islower() and w not in ("for", "of") for w in words)
@@ -174,20 +195,21 @@ def read_responses(responses: DataFrame, weights: np.ndarray) -> DataFrame:
                 last = masked(units(sentences(AFTER.sub("", bare(text)))[-1]), names)
                 # a name that the question doesn't hold stands for any; a short one may be the beginning of another
                 capital = [capital_context(last, len(last) - 1)] if end == "open" and last and len(last[-1]) >= 5 and last[-1][:1].isupper() else []
-                slots = masked(units(sentences(text)[0]), names)
+                first, *more = sentences(text)
+                slots = masked(units(first), names)
                 template = masked(slots, frozenset(w for w in slots[1:] if w[:1].isupper()))
-                specific = "N" in slots or "#" in slots
-                cue = bool(CUES.search(fold(re.sub("’", "'", sentences(text)[0]))))
+                named, nouns = answers(WORD.findall(first), names, NOUNS == best)
                 rows.append((
                     "other_language" if foreign else None, end if end in ("cut", "label") else None, [*contexts(last, len(last) - 1), *capital] if end in ("open", "label") and last else None,
-                    " ".join(fold(w) for w in template), cue and not specific, xxhash.xxh64_intdigest(question) >> 1,
+                    " ".join(map(fold, WORD.findall(first))), " ".join(map(fold, template)), named, nouns, bool(CUES.search(fold(re.sub("’", "'", first)))), xxhash.xxh64_intdigest(question) >> 1, not more,
                 ))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.int64()]
+            columns = list(zip(*rows)) if rows else [[]] * 10
+            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.bool_(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(columns, types)]], names_out)
 
-    names_out = ["item_id", "field_name", "plain", "end", "contexts", "opening", "cue", "prompt"]
-    return responses.select("item_id", "field_name", "question", "text").mapInArrow(run, "item_id string, field_name string, plain string, end string, contexts array<string>, opening string, cue boolean, prompt bigint")
+    schema = "item_id string, field_name string, plain string, end string, contexts array<string>, raw string, opening string, named boolean, nouns array<string>, cue boolean, prompt bigint, only boolean"
+    names_out = [x.split()[0] for x in schema.split(", ")]
+    return responses.select("item_id", "field_name", "question", "text").mapInArrow(run, schema)
 
 
 def context_counts(responses: DataFrame) -> DataFrame:
@@ -234,75 +256,114 @@ def broken_off(read: DataFrame, counts: DataFrame) -> DataFrame:
     return told.filter(~whole).select("item_id", "field_name")
 
 
-def similar_openings(held: DataFrame) -> DataFrame:
-    """a, b: every two ids of held (id, grams) that share at least SIMILAR of their shingles, the lesser id first.
+def signatures(openings: DataFrame) -> DataFrame:
+    """openings with a column raw, and their shingles `grams` (sorted hashes) and MinHash `bands` (one hash a band)."""
 
-    Exact prefix filter: with the shingles of each opening ordered from the rarest on, two so similar openings share one
-    of their first size - SIMILAR * size + 1. Pairs that meet there and can still be similar by their sizes and places
-    are compared whole. A shingle of many openings is cut into blocks of about BLOCK of them on one side.
-    """
-    each = held.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    ranked = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("holders")), "gram")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("holders", "gram"))
-    prefix = F.col("size") - F.ceil(SIMILAR * F.col("size") - EPSILON) + 1
-    first = ranked.withColumn("place", place).filter((F.col("place") <= prefix) & (F.col("holders") > 1)).withColumn("blocks", F.floor(F.col("holders") / BLOCK) + 1)
-    left = first.select("gram", F.expr("pmod(xxhash64(id), blocks)").alias("block"), F.col("id").alias("a"), F.col("size").alias("m"), (F.col("size") - F.col("place")).alias("after_a"))
-    right = first.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("size").alias("n"), (F.col("size") - F.col("place")).alias("after_b"))
-    least = SIMILAR / (1 + SIMILAR) * (F.col("m") + F.col("n")) - EPSILON
-    fit = (F.col("a") < F.col("b")) & (F.least("m", "n") >= SIMILAR * F.greatest("m", "n") - EPSILON) & (1 + F.least("after_a", "after_b") >= least)
-    met = left.join(right, ["gram", "block"]).filter(fit).select("a", "b").distinct()
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        r = np.random.RandomState(11)
+        factor, shift = (r.randint(0, 1 << 62, BANDS * ROWS, np.int64).astype(np.uint64)[:, None] for _ in "ab")
+        factor |= np.uint64(1)
+        for f in frames:
+            grams = []
+            for raw in f["raw"]:
+                w = raw.split(" ")
+                grams.append(sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + SHINGLE])) >> 1 for i in range(max(1, len(w) - SHINGLE + 1))}))
+            bands: list[list[int]] = []
+            for at in range(0, len(grams), 512):
+                part = grams[at : at + 512]
+                begins = np.cumsum([0, *map(len, part[:-1])])
+                with np.errstate(over="ignore"):
+                    least = np.minimum.reduceat((np.concatenate([np.array(g, np.uint64) for g in part]) * factor + shift) >> np.uint64(20), begins, axis=1)
+                rows = np.ascontiguousarray(least.T).reshape(len(part), BANDS, ROWS)
+                bands += [[xxhash.xxh64_intdigest(x.tobytes(), seed=i) >> 1 for i, x in enumerate(row)] for row in rows]
+            yield f.assign(grams=grams, bands=bands)
+
+    kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in openings.schema)
+    return openings.mapInPandas(run, kinds + ", grams array<bigint>, bands array<bigint>")
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of ids of held (id, grams) that share at least SIMILAR of their shingles."""
     grams = lambda side: held.select(F.col("id").alias(side), F.col("grams").alias(f"grams_{side}"))
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    whole = met.join(grams("a"), "a").join(grams("b"), "b")
+    whole = pairs.join(grams("a"), "a").join(grams("b"), "b")
     return whole.filter(shared >= SIMILAR * (F.size("grams_a") + F.size("grams_b") - shared) - EPSILON).select("a", "b")
 
 
+def clusters(held: DataFrame) -> DataFrame:
+    """id, root: the components of the similar ones among held (id, grams, bands), but for those that have no like.
+
+    First each opening of a band's bucket is compared with the least of the bucket, which is linear in its size. Only in
+    buckets that these links leave in several components do members of different ones meet, in blocks of about BLOCK on
+    one side; so no link between components is lost, and a bucket that is one cluster is never paired out.
+    """
+    each = held.select("id", F.size("grams").alias("size"), F.explode("bands").alias("band"))
+    shared = each.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = written(each.join(shared, "band"), "buckets")
+    stars = written(verified(met.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), held), "links")
+    roots = components(stars)
+    named = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = named.groupBy("band").agg(F.min("root").alias("_least"), F.max("root").alias("_most"), F.floor(F.count(F.lit(1)) / BLOCK).alias("blocks")).filter("_least <> _most")
+    apart = named.join(mixed.select("band", "blocks"), "band")
+    left = apart.select("band", F.expr("pmod(xxhash64(id), blocks + 1)").alias("block"), F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("m"))
+    right = apart.select("band", F.explode(F.sequence(F.lit(0).cast("bigint"), "blocks")).alias("block"), F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("n"))
+    fit = (F.col("root_a") < F.col("root_b")) & (F.least("m", "n") >= SIMILAR * F.greatest("m", "n") - EPSILON)
+    further = written(verified(left.join(right, ["band", "block"]).filter(fit).select("a", "b").distinct(), held), "links")
+    return components(stars.union(further)) if further.take(1) else roots
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, root: of each id in links (a, b) the least id that it is linked with, over any number of links.
 
     Large and small stars in turn until nothing changes; each round is written, so lineage stays short.
     """
-    edges, before = written(links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).filter("id <> root").distinct(), "links"), None
-    while True:
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)"))).first())
-        if state == before:
-            return edges
+    def kept(found: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        return written(found.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)")).alias("h")), "links"), tuple(seen.get.values())
+
+    (edges, state), before = kept(links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).filter("id <> root").distinct()), None
+    while state != before:
         before = state
         both = edges.union(edges.select("root", "id")).toDF("u", "v")
         large = both.filter("v > u").join(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        edges = written(small.select(F.explode(F.array("u", "v")).alias("id"), F.col("m").alias("root")).filter("id <> root").distinct(), "links")
+        edges, state = kept(small.select(F.explode(F.array("u", "v")).alias("id"), F.col("m").alias("root")).filter("id <> root").distinct())
+    return edges
 
 
-def refusal_openings(read: DataFrame) -> DataFrame:
-    """opening of each template of refusal.
+def refusal_openings(read: DataFrame, asked: DataFrame) -> DataFrame:
+    """raw of each opening that refuses, of read_responses() and the words (word) that questions write with a capital.
 
-    Openings equal word for word are counted first; distinct ones are linked if at least SIMILAR of their shingles are
-    shared, and what links connect is a cluster. A cluster that recurs under PROMPTS prompts
-    is a refusal if most of its members speak of declining and say nothing of their prompts; an opening whose cluster stands
-    under one prompt only, however often, is judged by its own cues.
+    Openings equal word for word are counted first; the components of verified links are clusters. A cluster that stands
+    under two prompts or more is a template. Where names are slots of the opening, it must be filled alike: of all openings
+    that differ in slots only, its cluster must hold more than half, else the slot is the answer. Nor may it share a
+    phrase that stands in more answers than other openings.
     """
-    openings = read.filter(F.col("opening").isNotNull()).groupBy("opening").agg(
-        F.min("prompt").alias("one"), F.max("prompt").alias("other"), F.count(F.lit(1)).alias("times"), F.sum(F.col("cue").cast("int")).alias("cues")
+    texts = read.filter(F.col("raw").isNotNull()).groupBy("raw", "opening").agg(
+        F.min("prompt").alias("one"), F.max("prompt").alias("other"), F.count(F.lit(1)).alias("times"), F.max("named").alias("named"), F.max("cue").alias("cue"), F.max("nouns").alias("nouns")
     )
-
-    def shingles(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for f in frames:
-            rows = []
-            for opening in f["opening"]:
-                w = opening.split(" ")
-                rows.append(sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + SHINGLE])) >> 1 for i in range(max(1, len(w) - SHINGLE + 1))}))
-            yield f.assign(grams=rows)
-
-    counted = "id string, opening string, one bigint, other bigint, times bigint, cues bigint"
-    held = written(openings.select(F.md5("opening").alias("id"), "opening", "one", "other", "times", "cues").mapInPandas(shingles, counted + ", grams array<bigint>"), "openings")
-    rooted = held.drop("grams").join(components(similar_openings(held.select("id", "grams"))), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    clusters = rooted.groupBy("root").agg(F.sum("times").alias("times"), F.sum("cues").alias("cues"), F.min("one").alias("one"), F.max("other").alias("other"))
-    recurs = F.col("one") != F.col("other") if PROMPTS == 2 else F.lit(True)
-    judged = rooted.join(clusters.select("root", recurs.alias("recurs"), (F.col("cues") * 2 > F.col("times")).alias("most")), "root")
-    return judged.filter(F.when(F.col("recurs"), F.col("most")).otherwise(F.col("cues") * 2 > F.col("times"))).select("opening")
+    texts = written(texts.withColumn("id", F.xxhash64("raw")), "openings")
+    distinct = texts.groupBy("id").agg(F.min("raw").alias("raw"), F.min("one").alias("one"), F.max("other").alias("other"), F.max("named").alias("named"), F.max("cue").alias("cue"), F.max("nouns").alias("nouns"))
+    held = written(signatures(distinct.select("id", "raw")).drop("raw"), "signatures")
+    rooted = distinct.join(clusters(held), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = written(rooted, "rooted")
+    recurs = rooted.groupBy("root").agg((F.min("one") != F.max("other")).alias("recurs"))
+    slots = texts.join(rooted.select("id", "root"), "id").groupBy("opening", "root").agg(F.sum("times").alias("n"))
+    varied = slots.groupBy("opening").agg(F.max("n").alias("top"), F.sum("n").alias("n")).filter("top * 2 <= n")
+    varying = texts.join(varied, "opening", "left_semi").select("id").distinct()
+    owned = rooted.select("id", F.explode("nouns").alias("word")).join(asked, "word", "left_semi").select("id").distinct()
+    free = rooted.filter(~F.col("named")).join(owned, "id", "left_anti").join(varying, "id", "left_anti").join(recurs, "root").select("id", "raw", "recurs", "cue")
+    free = written(free, "free")
+    grams = held.select("id", F.explode("grams").alias("gram")).join(free.select("id", F.lit(1).alias("_free")), "id", "left")
+    of_answers = grams.groupBy("gram").agg(F.count("_free").alias("n"), F.count(F.lit(1)).alias("all")).filter("all > 2 * n")
+    own = grams.filter("_free = 1").select("id", "gram")
+    empty = written(free.join(own.join(of_answers, "gram", "left_semi").select("id").distinct(), "id", "left_anti"), "empty")
+    phrases = own.join(empty.filter("recurs").select("id"), "id", "left_semi").select("gram").distinct()
+    near = own.join(empty.filter(~F.col("recurs")).select("id"), "id", "left_semi").join(phrases, "gram", "left_semi").select("id").distinct()
+    alone = empty.filter(~F.col("recurs")).join(near.withColumn("near", F.lit(True)), "id", "left").filter(F.coalesce("near", "cue"))
+    return empty.filter("recurs").select("raw").union(alone.select("raw"))
 
 
 def defects(items: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -315,8 +376,14 @@ def defects(items: DataFrame, weights: np.ndarray) -> DataFrame:
     responses = items.select("item_id", "question", F.inline(fields)).filter((F.col("field_name") == "answer") | F.col("text").isNotNull()).distinct()
     responses = responses.repartition(parts(items.sparkSession), "item_id", "field_name")
     read = written(read_responses(responses, weights), "responses")
-    refused = read.filter(F.col("plain").isNull() | (F.col("plain") == "other_language")).join(refusal_openings(read), "opening", "left_semi").select("item_id", "field_name", F.lit(2).alias("rank"), F.lit("refusal").alias("defect"))
-    cut = read.filter(F.col("end") == "cut").select("item_id", "field_name").union(broken_off(read, context_counts(responses)))
+    # words with a capital that don't begin the question
+    asked = items.select(F.explode(F.regexp_extract_all("question", F.lit(r"(?<=\s)\p{Lu}[\p{L}'’]+"), F.lit(0))).alias("word")).distinct()
+    # read by both what refuses and what is left of the broken off ones
+    cut = written(read.filter(F.col("end") == "cut").select("item_id", "field_name").union(broken_off(read, context_counts(responses))), "cut")
+    refused = read.filter(F.col("plain").isNull() | (F.col("plain") == "other_language")).join(refusal_openings(read, asked), "raw", "left_semi").select("item_id", "field_name", "only")
+    # a response of one sentence that breaks off has not said yet what it is
+    broken = cut.select(F.col("item_id").alias("i"), F.col("field_name").alias("f"))
+    refused = refused.join(broken, F.col("only") & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("field_name") == F.col("f")), "left_anti").select("item_id", "field_name", F.lit(2).alias("rank"), F.lit("refusal").alias("defect"))
     ranks = {"empty": 0, "copied": 1, "refusal": 2, "truncated": 3, "other_language": 4}
     plain = read.filter(F.col("plain").isNotNull()).select("item_id", "field_name", F.when(F.col("plain") == "empty", 0).when(F.col("plain") == "copied", 1).otherwise(ranks["other_language"]).alias("rank"), F.col("plain").alias("defect"))
     every = plain.union(refused).union(cut.select("item_id", "field_name", F.lit(ranks["truncated"]), F.lit("truncated")))
