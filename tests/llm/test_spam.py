@@ -29,3 +29,24 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
 
 def test_long_text(spark):
     assert list_pages(table(spark, ["visa notary " * 100_000])).count() == 1
+
+
+def test_replicated_phrases_are_counted_by_hosts(spark):
+    lists = [" ".join(WORDS[(i * 3 + j * (i + 1)) % 8] for j in range(60)) for i in range(8)]
+    links = ["\n".join(f"{w} (https://www.docline{i}{j}.example/p/{i}{j})" for j, w in enumerate(WORDS)) for i in range(4)]
+    tags = [" ".join(f"#{w.title()}{p}" for w in WORDS for p in ("Avon", f"Beal{i}")) for i in range(4)]
+    rows = {r.doc_id: r for r in list_pages(table(spark, [*lists, *links, *tags])).collect()}
+    assert len(rows) == 16 and all(r.replicated * 2 > r.chars and r.replicated <= r.evidence <= r.listed <= r.chars for r in rows.values())
+    # the same pages on one host, and a page of its own
+    same = table(spark, lists).selectExpr("doc_id", "text", "'one' as origin", "source")
+    assert {r.replicated for r in list_pages(same).collect()} == {0}
+    # phrases that every page has are matched without a shuffle, and give the same
+    from threadloom.llm import spam
+
+    before = spam.MOST_HOT
+    try:
+        spam.MOST_HOT = 1
+        many = table(spark, [*lists, *links, *tags] * 30)
+        assert {r.doc_id % 16: r.replicated for r in list_pages(many).collect()} == {i: r.replicated for i, r in rows.items()}
+    finally:
+        spam.MOST_HOT = before

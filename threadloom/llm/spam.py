@@ -2,15 +2,17 @@
 
 Each text is read word by word. A word stands in prose if the words around it hold function words, as
 sentences of any of the corpus's languages do; figures and unbroken codes are neither prose nor list. What
-is left is *listed*. A page whose listed characters are no more than half can't be a case, whatever its
-phrases are. Phrases of listed words (shingles of two) are exploded and their distinct hosts counted over
-all documents; a listed word is *evidence* if its phrase stands on other hosts too, if it repeats in its
-own page, or if it is part of a link or tag. A page is found if its evidence makes more than half of it.
+is left is *listed*, and its share of the page is the page's list density. Phrases (shingles of two words, with
+figures as one word and words run together known by the first) are exploded from every page outside its prose, and their
+distinct hosts counted over all documents; a phrase on several hosts is *replicated*. A listed word is evidence if its
+phrase is replicated, or if the page itself tells (it repeats there, or is part of a link or tag). A page is found if
+listed words make more than half of it and its evidence does.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ AROUND, LEAST = 8, 2
 LONGEST_WORD, LONGEST_CHUNK = 40, 80
 #: Times a word must stand in a page to be repeated.
 REPEATED = 3
-#: Parts into which the uses of one phrase are cut where they meet its number of hosts.
-SALTS = 8
+#: Phrases of most uses are few: no more than so many have this share of all uses, and are broadcast.
+MOST_HOT = 10_000
 
 
 @functools.lru_cache(maxsize=1 << 18)
@@ -89,6 +91,7 @@ class Pages:
         figure = ~letters[own]
         dense = length > LONGEST_WORD / 2 * np.maximum(1, np.bincount(own, minlength=m))
         code = ((size > LONGEST_WORD) | (dense & (length > LONGEST_CHUNK))[own]) & ~link
+        self.figure = figure & ~self.prose
         self.listed = ~figure & ~code & (~self.prose | link)
         key = s.of.astype(np.int64) * max(1, len(s.distinct)) + s.index
         _, where, times = np.unique(key[self.listed], return_inverse=True, return_counts=True)
@@ -100,11 +103,13 @@ class Pages:
         self.direct = self.listed & (link | tag | repeated)
 
 
+#: Where words are run together.
+JOINED = re.compile(r"(?<=[^\W\d_A-ZÀ-Þ])(?=[A-ZÀ-Þ])")
 _folded: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A stable 64-bit hash of each folded word."""
+    """A stable 64-bit hash of each word, folded, with figures alike and without what is run together with it."""
     import xxhash
 
     if len(_folded) > 1 << 18:
@@ -113,14 +118,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     for i, w in enumerate(words):
         h = _folded.get(w)
         if h is None:
-            h = _folded[w] = xxhash.xxh64_intdigest(fold(w.decode()))
+            h = _folded[w] = xxhash.xxh64_intdigest(re.sub(r"\d+", "0", fold(JOINED.split(w.decode(), maxsplit=1)[0])))
         out[i] = h
     return out
 
 
 def pages(docs: DataFrame) -> DataFrame:
-    """doc_id, host, chars, listed, direct (characters) and the phrases of listed words with the characters
-    that they alone would make evidence. The host of a document is its origin, or else its source, or itself."""
+    """doc_id, host, chars, listed, direct (characters), and the phrases outside prose with the characters of listed words
+    that they make evidence (w) and those that nothing else would (d). The host of a document is its origin, or else its source, or itself."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,18 +133,24 @@ def pages(docs: DataFrame) -> DataFrame:
                 p = Pages(s)
                 texts = len(s.texts)
                 hashes = word_hashes(s.distinct.to_pylist())[s.index] if len(s.words) else np.zeros(0, np.uint64)
-                pair = p.listed.copy()
-                pair[1:] &= p.listed[:-1] & (s.of[1:] == s.of[:-1])
+                pair = p.listed | p.figure
+                pair[1:] &= pair[:-1] & (s.of[1:] == s.of[:-1])
                 pair[:1] = False
                 with np.errstate(over="ignore"):
                     shingle = np.zeros(len(hashes), np.uint64)
                     shingle[1:] = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
                 which = np.flatnonzero(pair)
-                # the weight of a phrase: its second word, if nothing else makes that word evidence
-                weight = np.where(p.direct, 0, p.span)[which]
+                # a phrase stands for its second word, and at the beginning of a run for the first as well
+                opens = which[~pair[which - 1]] - 1 if len(which) else which
+                weights = []
+                for kind in (p.listed, p.listed & ~p.direct):
+                    own = np.where(kind, p.span, 0)
+                    w = own.copy()
+                    w[opens + 1] += own[opens]
+                    weights.append(pa.array(w[which].astype(np.int32)))
                 counts = per_text(pair.astype(np.int64), p.first)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                phrases = pa.StructArray.from_arrays([pa.array(shingle[which].view(np.int64)), pa.array(weight.astype(np.int32))], ["h", "w"])
+                phrases = pa.StructArray.from_arrays([pa.array(shingle[which].view(np.int64)), *weights], ["h", "w", "d"])
                 sums = [per_text(np.where(x, p.span, 0), p.first) for x in (p.listed, p.direct)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, texts), b.column(1).slice(at, texts), pa.array((s.text_end - s.texts).astype(np.int64)), *map(pa.array, sums), pa.ListArray.from_arrays(offsets, phrases)],
@@ -150,35 +161,32 @@ def pages(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = spread(docs.select("doc_id", host.alias("host"), F.col("text").cast("string").alias("_text")), "doc_id")
     return rows.mapInArrow(
-        run, f"doc_id {kind}, host string, chars bigint, listed bigint, direct bigint, phrases array<struct<h: bigint, w: int>>"
+        run, f"doc_id {kind}, host string, chars bigint, listed bigint, direct bigint, phrases array<struct<h: bigint, w: int, d: int>>"
     )
 
 
 def list_pages(docs: DataFrame, least_hosts: int = 2) -> DataFrame:
-    """doc_id, chars, listed, evidence (characters) of each page that is a case.
+    """doc_id and the characters of each page that is a case: chars, listed, replicated (listed, and in phrases of
+    least_hosts hosts or more) and evidence (replicated, or told by the page itself).
 
     Null, empty and blank texts are none. Repeated rows of a doc_id give repeated rows. Columns other than
     doc_id, text, origin and source are not read. Lists within prose are none as long as they are half at most.
     """
     read = written(pages(docs).filter(F.col("listed") > 0).withColumn("row", F.expr("uuid()")), "pages")
-    # two steps: first the distinct hosts of a phrase are combined on the map side, so no phrase is hot
+    # two steps: first the uses of a phrase are combined with their host on the map side, so no phrase is hot
     shown = read.select("host", F.explode("phrases.h").alias("h")).groupBy("h", "host").agg(F.count(F.lit(1)).alias("times"))
-    shared = shown.groupBy("h").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= least_hosts)
+    shared = written(shown.groupBy("h").agg(F.count(F.lit(1)).alias("hosts"), F.sum("times").alias("times")).filter(F.col("hosts") >= least_hosts), "phrases")
     likely = read.filter(F.col("listed") * 2 > F.col("chars"))
-    uses = (
-        likely.filter(F.col("direct") * 2 <= F.col("chars"))
-        .select("row", F.explode("phrases").alias("p"))
-        .groupBy("row", F.col("p.h").alias("h"))
-        .agg(F.sum("p.w").alias("w"))
-        .filter(F.col("w") > 0)
-        .withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    )
-    salted = shared.select("h", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])).alias("salt"))
-    stitched = uses.join(salted, ["h", "salt"]).groupBy("row").agg(F.sum("w").alias("stitched"))
+    uses = likely.select("row", F.explode("phrases").alias("p")).groupBy("row", F.col("p.h").alias("h")).agg(F.sum("p.w").alias("w"), F.sum("p.d").alias("d"))
+    # phrases of many pages are few, by their share of all uses; they don't move, and the rest holds no hot one
+    every = shared.agg(F.sum("times")).first()[0] or 0
+    least = F.lit(max(1000, -(-every // MOST_HOT)))
+    hot = F.broadcast(shared.filter(F.col("times") >= least).select("h"))
+    rest = uses.join(hot, "h", "left_anti").join(shared.filter(F.col("times") < least).select("h"), "h")
+    stitched = uses.join(hot, "h").unionByName(rest).groupBy("row").agg(F.sum("w").alias("replicated"), F.sum("d").alias("further"))
     return (
         likely.drop("phrases")
         .join(stitched, "row", "left")
-        .withColumn("evidence", F.col("direct") + F.coalesce("stitched", F.lit(0)))
+        .select("doc_id", "chars", "listed", F.coalesce("replicated", F.lit(0)).alias("replicated"), (F.col("direct") + F.coalesce("further", F.lit(0))).alias("evidence"))
         .filter(F.col("evidence") * 2 > F.col("chars"))
-        .select("doc_id", "chars", "listed", "evidence")
     )
