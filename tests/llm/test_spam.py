@@ -1,3 +1,5 @@
+import random
+
 from threadloom.llm.spam import list_pages, pages
 
 WORDS = ["visa", "permit", "notary", "courier", "stamp", "broker", "passport", "archive"]
@@ -32,7 +34,8 @@ def test_long_text(spark):
 
 
 def test_replicated_phrases_are_counted_by_hosts(spark):
-    lists = [" ".join(WORDS[(i * 3 + j * (i + 1)) % 8] for j in range(60)) for i in range(8)]
+    rng = random.Random(3)
+    lists = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(8)]
     links = ["\n".join(f"{w} (https://www.docline{i}{j}.example/p/{i}{j})" for j, w in enumerate(WORDS)) for i in range(4)]
     tags = [" ".join(f"#{w.title()}{p}" for w in WORDS for p in ("Avon", f"Beal{i}")) for i in range(4)]
     rows = {r.doc_id: r for r in list_pages(table(spark, [*lists, *links, *tags])).collect()}
