@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from threadloom.llm.nearest import DAY, match_events, nearest_pairs, nearest_stream
+from threadloom.llm.nearest import DAY, NearestState, match_events, nearest_pairs, nearest_stream
 
 
 def brute(lefts, rights):
@@ -21,7 +21,43 @@ def test_against_brute_force_with_a_hot_entity_and_ties(spark):
     rights = [(f"k{r.randrange(80):02d}", q(), r.randrange(400) * DAY // 4) for _ in range(300)]
     a = spark.createDataFrame(lefts + lefts[:5], "private_id string, qid string, at bigint, tolerance bigint")
     b = spark.createDataFrame(rights + rights[:5], "key string, qid string, at bigint")
-    assert {tuple(x) for x in nearest_pairs(a, b).collect()} == brute(lefts, rights)
+    for rows in (4096, 16):  # 16: cells of the hot entity are cut into slices
+        assert {tuple(x) for x in nearest_pairs(a, b, rows).collect()} == brute(lefts, rights)
+    # a row of ten years, and events far from any cell with left rows
+    lefts += [("ten years", "hot", 3000 * DAY, 3650 * DAY), ("ten years", "a", -900 * DAY, 3650 * DAY), ("short", "b", 5000 * DAY, DAY)]
+    rights += [("far", "b", 5001 * DAY), ("further", "b", 9000 * DAY)]
+    a, b = spark.createDataFrame(lefts, a.schema), spark.createDataFrame(rights, b.schema)
+    assert {tuple(x) for x in nearest_pairs(a, b, 16).collect()} == brute(lefts, rights)
+
+
+def test_the_machine_emits_by_watermark_and_evicts():
+    m = NearestState()
+    m.right(0, "a")
+    m.left(10, 5, "x")
+    m.right(14, "b")
+    m.right(14, "a")
+    assert list(m.advance(15)) == [] and list(m.advance(16)) == [("x", 14, "a")]
+    m.left(30, 20, "y")
+    assert list(m.advance(40)) == [] and (14, "a") in m.rights  # y still reaches back to it
+    m.right(41, "c")
+    assert list(m.advance(60)) == [("y", 41, "c")]
+    for at in range(61, 200):
+        m.right(at, "d")
+        assert list(m.advance(at)) == []
+    assert len(m.rights) < 60
+
+
+def test_random_watermarks_against_brute_force():
+    r = random.Random(9)
+    for _ in range(200):
+        lefts = [(f"p{i}", "q", r.randrange(60), r.randrange(15)) for i in range(12)]
+        rights = sorted({(f"k{r.randrange(9)}", "q", r.randrange(60)) for _ in range(12)})
+        m, got = NearestState(), []
+        for at, side, x in sorted([(x[2], 1, x) for x in lefts] + [(x[2], 0, x) for x in rights]):
+            (m.left(at, x[3], (x[0], "q", at)) if side else m.right(at, x[0]))
+            got += m.advance(at)
+        got += m.end()
+        assert {(*row, key, key_at) for row, key_at, key in got} == brute(lefts, rights)
 
 
 def test_nulls_negative_windows_days_and_empty_tables(spark):

@@ -1,109 +1,151 @@
 """Pairing records by nearest time within a tolerance (problem 4).
 
-One state machine serves streams and tables. It buffers both sides of an entity; a left row is emitted as
-soon as the first right row at or after it is known, or the watermark has passed its horizon (its time plus
-its tolerance); a right row is evicted once no left row, present or to come, can reach back to it. Since a
-left row is decided by its nearest neighbours before and after, the state of an entity is its last right row
-and the left rows that wait.
-
-Over tables, entities are cut into cells of the longest tolerance in time, so that an entity that holds a
-third of all rows is many cells; right rows are copied to the neighbouring cells where left rows wait.
-Rows of a cell stream in order of time through the state machine, and the time is the watermark.
+One state machine serves streams and tables. It buffers both sides of an entity; a left row is emitted once the
+watermark has passed its horizon (its time plus its tolerance), and a right row is evicted once neither a waiting left
+row nor one to come can be nearest to it.
+
+Over tables, the rows of an entity are cut into cells of time, and cells of many rows into slices, so that an entity
+that holds a third of all rows is many cells. The last right row before a cell and the first after it are carried into
+it, found by a window over cells, not rows: so a cell is decided on its own whatever the tolerances are. Rows of a cell
+go through the state machine in order of time, and the time is the watermark.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import written
+
 DAY = 86_400_000_000
 RIGHT, LEFT = 0, 1
+#: Time of a cell; rows of a cell from which it is cut into slices; slices are no more than MOST_CUT.
+CELL, SLICE_ROWS, MOST_CUT = 32 * DAY, 4096, 10_000
 
 
 class NearestState:
-    """Rows of one entity, fed in order of (time, right before left, right key)."""
+    """Both sides of one entity, or of a cell of it, between watermarks."""
 
-    def __init__(self) -> None:
-        self.last: tuple[int, str] | None = None
-        self.waiting: list[tuple[int, int, object, tuple[int, str] | None]] = []
+    def __init__(self, rights: Iterable[tuple[int, str]] = (), lefts: Iterable[tuple[int, int, object]] = (), longest: int = 0) -> None:
+        self.rights = sorted(rights)
+        self.lefts = [(at + tolerance, at, tolerance, row) for at, tolerance, row in lefts]
+        heapq.heapify(self.lefts)
+        self.longest = max([longest, *(x[2] for x in self.lefts)])
 
-    def right(self, at: int, key: str) -> Iterator[tuple[object, int, int, str]]:
-        """A right row: every waiting left row is decided."""
-        yield from self.settle((at, key))
-        if self.last is None or at > self.last[0]:  # of rows at one time the smallest key came first
-            self.last = (at, key)
+    def right(self, at: int, key: str) -> None:
+        if not self.rights or (at, key) > self.rights[-1]:
+            self.rights.append((at, key))
+        else:
+            i = bisect_left(self.rights, (at, key))
+            if self.rights[i] != (at, key):
+                self.rights.insert(i, (at, key))
 
     def left(self, at: int, tolerance: int, row: object) -> None:
-        near = self.last
-        self.waiting.append((at, tolerance, row, near if near is not None and at - near[0] <= tolerance else None))
-
-    def settle(self, after: tuple[int, str] | None = None) -> Iterator[tuple[object, int, int, str]]:
-        """Emits (row, distance, time, key) for the waiting rows; `after` is the first right row that follows them."""
-        for at, tolerance, row, near in self.waiting:
-            if after is not None and after[0] - at <= tolerance and (near is None or after[0] - at < at - near[0]):
-                near = after
+        self.longest = max(self.longest, tolerance)
+        heapq.heappush(self.lefts, (at + tolerance, at, tolerance, row))
+
+    def nearest(self, at: int, tolerance: int) -> tuple[int, str] | None:
+        """The right row nearest to `at`; on a tie the earlier, then the smaller key."""
+        i = bisect_left(self.rights, (at + 1,))
+        after = self.rights[i] if i < len(self.rights) and self.rights[i][0] - at <= tolerance else None
+        if i and at - self.rights[i - 1][0] <= tolerance:
+            before = self.rights[bisect_left(self.rights, (self.rights[i - 1][0],))]
+            if after is None or at - before[0] <= after[0] - at:
+                return before
+        return after
+
+    def advance(self, watermark: int) -> Iterator[tuple[object, int, str]]:
+        """Emits (row, time, key) for left rows whose horizon has passed, and evicts right rows out of reach.
+
+        A left row that waits or is still to come lies at or after watermark - longest: of the right rows up to there only
+        the last one can be nearest to it.
+        """
+        while self.lefts and self.lefts[0][0] < watermark:
+            _, at, tolerance, row = heapq.heappop(self.lefts)
+            near = self.nearest(at, tolerance)
             if near is not None:
-                yield row, abs(at - near[0]), *near
-        self.waiting.clear()
+                yield row, *near
+        i = bisect_right(self.rights, (watermark - self.longest,))
+        if i > 1:
+            i = bisect_left(self.rights, (self.rights[i - 1][0],))  # of rows at one time all stay
+            if 2 * i > len(self.rights):
+                del self.rights[:i]
 
-    def watermark(self, now: int, longest: int) -> Iterator[tuple[object, int, int, str]]:
-        """Emits waiting rows whose horizon has passed and evicts a right row out of every later row's reach."""
-        done = [w for w in self.waiting if w[0] + w[1] < now]
-        if done:
-            self.waiting = [w for w in self.waiting if w[0] + w[1] >= now]
-            for at, _, row, near in done:
-                if near is not None:
-                    yield row, abs(at - near[0]), *near
-        if self.last is not None and self.last[0] + longest < now:
-            self.last = None
+    def end(self) -> Iterator[tuple[object, int, str]]:
+        """All that waits: no row is to come."""
+        yield from self.advance(max((x[0] for x in self.lefts), default=0) + 1)
 
 
 def micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def nearest_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def in_cells(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """rows (qid, at, side, name, tolerance) with `cell` and `slice`, and the carried right rows of each cell with left rows.
+
+    The cells that are cut are broadcast; they are no more than MOST_CUT, since a cut one has at least that share of all rows.
+    """
+    cell = F.floor(F.col("at") / F.lit(CELL))
+    counts = rows.groupBy("qid", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    least = max(slice_rows, -(-rows.count() // MOST_CUT))
+    cut = F.broadcast(counts.filter(F.col("n") > least).select("qid", "cell", F.ceil(F.col("n") / F.lit(least)).alias("slices")))
+    inside = (F.col("at") - F.col("cell") * F.lit(CELL)).cast("double") / F.lit(float(CELL))
+    placed = rows.withColumn("cell", cell).join(cut, ["qid", "cell"], "left").withColumn("slice", F.floor(inside * F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    keys = ["qid", "cell", "slice"]
+    here = F.when(F.col("side") == RIGHT, F.struct("at", "name"))
+    cells = placed.groupBy(*keys).agg(F.min(here).alias("first"), F.max_by(here, F.when(F.col("side") == RIGHT, F.col("at"))).alias("last"), F.max(F.col("side") == LEFT).alias("asked"))
+    along = Window.partitionBy("qid").orderBy("cell", "slice")
+    before = F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    asked = cells.select(*keys, "asked", before.alias("before"), after.alias("after")).filter("asked")
+    carried = asked.select(*keys, F.explode(F.array("before", "after")).alias("r")).filter("r is not null").select("qid", F.col("r.at").alias("at"), F.lit(RIGHT).alias("side"), F.col("r.name").alias("name"), F.lit(0).cast("bigint").alias("tolerance"), "cell", "slice")
+    return placed.join(asked.select(*keys), keys, "left_semi").unionByName(carried)
+
+
+def nearest_pairs(left: DataFrame, right: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """left (private_id, qid, at, tolerance), right (key, qid, at), times in microseconds, to (private_id, qid, at, key, key_at).
 
     The nearest right row of the same qid within the tolerance; on a tie the earlier, then the smaller key. Rows with a
     null qid, time, key, private_id or tolerance, or a negative one, take no part. Repeated left rows give one row.
     Left rows without a neighbour give none; empty tables give no rows.
     """
-    left = left.select("private_id", "qid", "at", "tolerance").dropna().filter("tolerance >= 0").distinct()
-    right = right.select("key", "qid", "at").dropna()
-    width = max(left.agg(F.max("tolerance")).first()[0] or 0, DAY)
-    cell = F.floor(F.col("at") / F.lit(width))
-    lefts = left.select("qid", cell.alias("cell"), "at", F.lit(LEFT).alias("side"), F.col("private_id").alias("name"), "tolerance")
-    copies = right.select("qid", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), "at", F.lit(RIGHT).alias("side"), F.col("key").alias("name"), F.lit(0).cast("bigint").alias("tolerance"))
-    wanted = copies.join(lefts.select("qid", "cell").distinct(), ["qid", "cell"], "left_semi")
-    stream = lefts.unionByName(wanted).repartition("qid", "cell").sortWithinPartitions("qid", "cell", "at", "side", "name")
+    lefts = left.select("private_id", "qid", "at", "tolerance").dropna().filter("tolerance >= 0").distinct()
+    # of right rows at one time the smallest key is enough
+    rights = right.select("key", "qid", "at").dropna().join(lefts.select("qid").distinct(), "qid", "left_semi").groupBy("qid", "at").agg(F.min("key").alias("name"))
+    rows = lefts.select("qid", "at", F.lit(LEFT).alias("side"), F.col("private_id").alias("name"), "tolerance").unionByName(
+        rights.select("qid", "at", F.lit(RIGHT).alias("side"), "name", F.lit(0).cast("bigint").alias("tolerance"))
+    )
+    keys = ["qid", "cell", "slice"]
+    stream = in_cells(written(rows, "sides"), slice_rows).select(*keys, "at", "side", "name", "tolerance").repartition(*keys).sortWithinPartitions(*keys, "at", "side", "name")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, out = None, NearestState(), []
 
         def shown() -> pa.RecordBatch:
-            rows = [(*row, key, key_at) for row, _, key_at, key in out]
+            rows = [(*row, key, key_at) for row, key_at, key in out]
             columns = list(zip(*rows)) if rows else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
         types, names = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()], ["private_id", "qid", "at", "key", "key_at"]
         for b in batches:
-            for qid, cell, at, side, name, tolerance in zip(*(c.to_pylist() for c in b.columns)):
-                if (qid, cell) != current:
-                    out += state.settle()
-                    current, state = (qid, cell), NearestState()
+            for *cell, at, side, name, tolerance in zip(*(c.to_pylist() for c in b.columns)):
+                if cell != current:
+                    out += state.end()
+                    current, state = cell, NearestState()
                 if side == RIGHT:
-                    out += state.right(at, name)
+                    state.right(at, name)
                 else:
-                    out += state.watermark(at, width)
-                    state.left(at, tolerance, (name, qid, at))
+                    state.left(at, tolerance, (name, cell[0], at))
+                out += state.advance(at)
             yield shown()
             out.clear()
-        out += state.settle()
+        out += state.end()
         yield shown()
 
     return stream.mapInArrow(run, "private_id string, qid string, at bigint, key string, key_at bigint")
@@ -122,49 +164,44 @@ def match_events(matches: DataFrame, events: DataFrame) -> DataFrame:
     return best.select("private_id", F.col("qid").alias("anchor_qid"), F.col("b.key").alias("public_id"), days.alias("days_apart"), F.abs(days).alias("n_days"), F.col("b.distance").alias("distance"))
 
 
-STATE = "last_at long, last_key string, rights array<struct<at: long, key: string>>, lefts array<struct<at: long, tolerance: long, name: string>>"
+STATE = "rights array<struct<at: long, key: string>>, lefts array<struct<at: long, tolerance: long, name: string>>"
 OUTPUT = "private_id string, qid string, at long, key string, key_at long"
 
 
 def nearest_stream(left: DataFrame, right: DataFrame, longest_days: int, late: str = "1 day") -> DataFrame:
     """The same join over two streams with a timestamp column `ts`: left (private_id, qid, ts, tolerance), right (key, qid, ts).
 
-    Both sides are buffered per qid until the watermark (`late` behind the newest time) has passed them; a left row is
-    emitted once the watermark has passed its horizon, and candidates further back than longest_days are evicted.
+    Both sides are buffered until the watermark (`late` behind the newest time) has passed them; a left row is
+    emitted once the watermark has passed its horizon, and candidates out of reach are evicted. The state is that of an
+    entity's cell of longest_days, with the right rows of the cells beside it, so a state value is bounded in time. Left
+    rows of a tolerance over longest_days are an error.
     """
-    columns = ["qid", "ts", "side", "name", "tolerance"]
+    longest = max(1, longest_days) * DAY
     a = left.select("qid", "ts", F.lit(LEFT).alias("side"), F.col("private_id").alias("name"), F.col("tolerance").cast("bigint").alias("tolerance"))
     b = right.select("qid", "ts", F.lit(RIGHT).alias("side"), F.col("key").alias("name"), F.lit(0).cast("bigint").alias("tolerance"))
-    both = a.unionByName(b).select(*columns).dropna().withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    longest = longest_days * DAY
+    both = a.unionByName(b).dropna().withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    bound = F.when(F.col("tolerance") > longest, F.raise_error(F.lit("a tolerance over longest_days"))).otherwise(F.col("tolerance"))
+    own = F.floor(F.col("at") / F.lit(longest))
+    cells = F.when(F.col("side") == RIGHT, F.array(own - 1, own, own + 1)).otherwise(F.array(own))
+    both = both.withColumn("tolerance", bound).withColumn("cell", F.explode(cells))
 
     def step(key, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rights, lefts = ([], []) if not state.exists else (list(map(tuple, state.get[2])), list(map(tuple, state.get[3])))
+        rights, lefts = ([], []) if not state.exists else state.get
+        machine = NearestState(map(tuple, rights), [(at, tolerance, (name, at)) for at, tolerance, name in lefts], longest)
         for f in frames:
             for at, side, name, tolerance in zip(f["at"], f["side"], f["name"], f["tolerance"]):
                 if side == RIGHT:
-                    rights.append((int(at), name))
+                    machine.right(int(at), name)
                 else:
-                    lefts.append((int(at), int(tolerance), name))
+                    machine.left(int(at), int(tolerance), (name, int(at)))
         now = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(x for x in lefts if x[0] + x[1] < now)
-        lefts = sorted(x for x in lefts if x[0] + x[1] >= now)
-        rights = sorted(set(rights))
-        machine, out, i = NearestState(), [], 0
-        for at, tolerance, name in ready:
-            while i < len(rights) and rights[i][0] <= at:
-                out += machine.right(*rights[i])
-                i += 1
-            machine.left(at, tolerance, (name, at))
-        out += machine.settle(rights[i] if i < len(rights) else None)
-        # a left row that waits, or one that may still come late, reaches back so far
-        back = min([now, *(x[0] for x in lefts)]) - longest
-        rights = [x for x in rights if x[0] >= back]
-        if rights or lefts:
-            state.update((0, "", rights, lefts))
-            state.setTimeoutTimestamp(max(now // 1000 + 1, (lefts[0][0] + lefts[0][1]) // 1000 + 1 if lefts else (rights[0][0] + longest) // 1000 + 1))
+        out = [(name, key[0], at, k, k_at) for (name, at), k_at, k in machine.advance(now)]
+        over = (int(key[1]) + 1) * longest  # no left row of this cell comes after
+        if machine.lefts or (machine.rights and now < over):
+            state.update((machine.rights, [(at, tolerance, name) for _, at, tolerance, (name, _) in machine.lefts]))
+            state.setTimeoutTimestamp(max(now, machine.lefts[0][0] if machine.lefts else over) // 1000 + 1)
         else:
             state.remove()
-        yield pd.DataFrame([(name, key[0], at, k, k_at) for (name, at), _, k_at, k in out], columns=["private_id", "qid", "at", "key", "key_at"])
+        yield pd.DataFrame(out, columns=["private_id", "qid", "at", "key", "key_at"])
 
-    return both.groupBy("qid").applyInPandasWithState(step, OUTPUT, STATE, "append", "EventTimeTimeout")
+    return both.groupBy("qid", "cell").applyInPandasWithState(step, OUTPUT, STATE, "append", "EventTimeTimeout")
