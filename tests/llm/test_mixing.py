@@ -1,7 +1,10 @@
 import random
 from itertools import product
 
-from threadloom.llm.mixing import fit_budget, fit_exactly, mix, plan, shares
+import pytest
+
+from threadloom.llm import mixing
+from threadloom.llm.mixing import budgets, fit_budget, fit_exactly, mix, shares
 
 
 def test_exact_fit_against_brute_force():
@@ -25,11 +28,28 @@ def test_large_budgets_are_met_to_the_token():
         assert used == min(total, budget) or budget < 20 or budget > total - 22
 
 
-def test_plan_keeps_within_repeats():
-    p = plan({"a": {10: 10}, "b": {5: 4}, "x": {1: 9}}, {"a": (0.5, 1), "b": (0.5, 3), "none": (0.0, 2)})
-    assert p["a"] == (60, 0, {10: 6}) and p["b"] == (60, 3, {}) and p["none"] == (0, 0, {})
-    assert plan({"a": {10: 10}}, {"a": (1.0, 2)}, total=1000)["a"][1:] == (2, {})
-    assert plan({}, {"a": (1.0, 2)}) == {"a": (0, 0, {})}
+def test_lengths_above_the_window():
+    assert fit_budget({150000: 5}, 160000) == {150000: 1}
+    assert sum(n * k for n, k in fit_budget({140000: 50, 9: 3}, 700027).items()) == 700027
+    r = random.Random(5)
+    for _ in range(60):
+        counts = {n: r.randint(1, 4) for n in r.sample(range(30, 200), r.randint(1, 4))}
+        every = [sum(n * k for n, k in zip(counts, ks)) for ks in product(*(range(c + 1) for c in counts.values()))]
+        for budget in (r.randint(0, 2 * max(counts)), r.randint(0, sum(n * k for n, k in counts.items()))):
+            got = fit_budget(counts, budget, window=16)
+            used, best = sum(n * k for n, k in got.items()), max(s for s in every if s <= budget)
+            assert all(0 < k <= counts[n] for n, k in got.items()) and used <= budget
+            assert used == best if budget <= 2 * max(counts) else used >= best - max(counts)
+
+
+def test_budgets_keep_within_repeats(spark):
+    have = {"a": 100, "b": 20, "x": 9}
+    assert budgets(have, {"a": (0.5, 1), "b": (0.5, 3), "none": (0.0, 2)}) == {"a": (60, 0, 60), "b": (60, 3, 0), "none": (0, 0, 0)}
+    assert budgets({"a": 100}, {"a": (1.0, 2)}, total=1000)["a"][1:] == (2, 0)
+    assert budgets({}, {"a": (1.0, 2)}) == {"a": (0, 0, 0)}
+    many = spark.range(mixing.MOST_TARGETS + 1).selectExpr("cast(id as string) as source", "0.1 as target_share", "1 as max_repeats")
+    with pytest.raises(ValueError, match="too many targets"):
+        mixing.read_targets(many)
 
 
 def test_mix_and_shares(spark):
