@@ -26,17 +26,22 @@ def test_key_profiles_against_brute_force_with_a_hot_key(spark):
     for chunk in (16, 100, None):
         got = {(g.key_field, g.key_text): (g.pairs, g.partners, g.least_days, g.greatest_days) for g in keychunks.key_profiles(df, chunk).collect()}
         assert got == {k: (n, len(p - {None}), min(d for d in days if d is not None), max(d for d in days if d is not None)) for k, (n, p, days) in want.items()}
-    assert keychunks.key_profiles(df, 16).filter("key_text = 'Q1'").first().chunks > 10
+    cut = keychunks.key_profiles(df, 16).filter("key_text = 'Q1'").first()
+    assert cut.chunks > 10 and cut.straddling > 10  # partners with rows in two chunks
+    one = df.filter("qid = 'Q1'").limit(500).withColumn("public_id", F.lit("only")).withColumn("days_apart", F.expr("cast(pmod(xxhash64(private_id, rand(3)), 300) as int)"))
+    assert [(r.partners, r.pairs, r.straddling > 5) for r in keychunks.key_profiles(one, 16).filter("key_field = 'qid'").collect()] == [(1, 500, True)]
     assert {tuple(g) for g in keychunks.heavy_keys(df).collect()} == {k for k, (n, _, _) in want.items() if n * 50 >= 3050}
     assert keychunks.heavy_keys(df.limit(0)).count() == 0
 
 
 def test_numbers_in_chunks_are_exact(spark):
-    states = spark.createDataFrame([("a", f"p{i}") for i in range(1000)] + [(None, f"p{i}") for i in range(60)] + [("b", None)], "k string, o string")
-    got = keychunks.number_in_chunks(states, ["k"], "o", 64).collect()
+    states = spark.createDataFrame([("a", f"p{i:04}") for i in range(1000)] + [(None, f"p{i}") for i in range(60)] + [("b", None)], "k string, o string")
+    got = keychunks.number_in_chunks(states, ["k"], ["o"], 64).collect()
     for key, n in (("a", 1000), (None, 60), ("b", 1)):
         mine = [g for g in got if g.k == key]
         assert sorted(g.number for g in mine) == list(range(1, n + 1)) and all(g.chunk == (g.number - 1) // 64 for g in mine)
+    assert all(g.o == f"p{g.number - 1:04}" for g in got if g.k == "a") and len({g.part for g in got if g.k == "a"}) > 1
+    assert keychunks.number_in_chunks(states.limit(0), ["k"], ["o"], 64).count() == 0
 
 
 def test_numbered_and_strided(spark):

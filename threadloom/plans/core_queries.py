@@ -36,7 +36,7 @@ def p1_found(spark, d):
 
 @query(KEYED + " SELECT key_field, key_text, count(*) AS pairs, count(DISTINCT public_id) AS partners, min(days_apart) AS least_days, max(days_apart) AS greatest_days FROM k GROUP BY 1, 2")
 def p1_profile(spark, d):
-    return keychunks.key_profiles(table(spark, d, "pairs")).drop("chunks")
+    return keychunks.key_profiles(table(spark, d, "pairs")).drop("chunks", "straddling")
 
 
 # ---- mentions, links, bridges
