@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.bytebpe import TOKENIZER, token_counts
-from threadloom.operators.keychunks import chunk_size, number_in_chunks
+from threadloom.operators.keychunks import number_rows
 from threadloom.session import written
 
 #: Tokens over which the remaining budget is fitted exactly, if no document is longer.
@@ -142,8 +142,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     tokens = counted(docs, path)
     _, _, chosen, parts = planned(tokens, targets, total)
     passes = spark.createDataFrame([(s, p) for s, (_, p, _) in chosen.items() if p], "source string, passes bigint")
-    keyed = tokens.withColumn("order", F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    numbered = number_in_chunks(keyed.select("source", "tokens", "doc_id", "order"), ["source", "tokens"], "order", chunk_size(tokens.count()))
+    keyed = tokens.withColumn("order", F.xxhash64(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
+    numbered = number_rows(keyed.select("source", "tokens", "doc_id", "order"), ["source", "tokens"], ["order", "doc_id"])
     part = numbered.join(parts, ["source", "tokens"], "left").withColumn("more", F.when(F.col("number") <= F.col("extra"), 1).otherwise(0))
     copies = part.join(F.broadcast(passes), "source", "left").withColumn("copies", F.coalesce("passes", F.lit(0)) + F.col("more"))
     return copies.filter("copies > 0").select("doc_id", "source", "tokens", F.col("copies").cast("int").alias("copies"))
