@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,3 +187,40 @@ def marked_span(text: Column, start: Column, end: Column, context: int = 200) ->
 def usable_span(word: Column, group: Column, score: Column) -> Column:
     """Whether a recognised span is worth linking."""
     return ~F.contains(word, F.lit("##")) & (F.length(strip(word)) >= 3) & group.isin("PER", "LOC", "ORG") & (F.coalesce(score, F.lit(1.0)) >= 0.85)
+
+
+def truecased(docs: DataFrame, text: str, case: Callable[[str], str] | None = None) -> DataFrame:
+    """docs with the case of a text column restored by an injected function, in Arrow batches; without one it stays as it is."""
+    if case is None:
+        return docs
+    restored = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else case(x)), T.StringType())
+    return docs.withColumn(text, restored(F.col(text)))
+
+
+def prepared(docs: DataFrame, text: str = "text", most: int = 12_000, case: Callable[[str], str] | None = None) -> DataFrame:
+    """docs whose text is the narrative to be linked: at most so many characters, in its restored case; null is empty."""
+    return truecased(docs.withColumn(text, F.left(narrative_body(F.coalesce(F.col(text), F.lit(""))), F.lit(most))), text, case)
+
+
+def recognised(docs: DataFrame, recognise: Callable[[str], list[dict]], window: int = 1500, overlap: int = 250) -> DataFrame:
+    """doc_id, start, surface, marked of the usable spans that an injected recogniser finds in windows of docs (doc_id, text).
+
+    recognise gives word, start, end, entity_group and score of each span of a window. Windows overlap, so a mention near
+    an edge is seen twice: of spans of one place and surface in a document the first window's counts.
+    """
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for d, at, piece in zip(f["doc_id"], f["at"], f["piece"]):
+                for x in recognise(piece) or []:
+                    rows.append((d, int(at), str(x.get("word", "")), int(x["start"]), int(x["end"]), x.get("entity_group", ""), float(x.get("score", 1.0))))
+            yield pd.DataFrame(rows, columns=["doc_id", "at", "surface", "low", "high", "group", "score"]).merge(f, on=["doc_id", "at"])[names]
+
+    names = ["doc_id", "at", "surface", "low", "high", "group", "score", "piece"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pieces = docs.select("doc_id", F.explode(windows(F.col("text"), window, overlap)).alias("w")).select("doc_id", F.col("w.start").alias("at"), "w.piece")
+    found = pieces.mapInPandas(run, f"doc_id {kind}, at int, surface string, low int, high int, group string, score double, piece string")
+    usable = found.filter(usable_span(F.col("surface"), F.col("group"), F.col("score")))
+    placed = usable.select("doc_id", (F.col("at") + F.col("low")).alias("start"), "surface", "at", marked_span(F.col("piece"), F.col("low"), F.col("high")).alias("marked"))
+    return placed.groupBy("doc_id", "start", "surface").agg(F.min_by("marked", "at").alias("marked"))

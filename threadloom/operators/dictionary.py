@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,17 +36,55 @@ def dictionary(index: DataFrame, min_chars: int = 6, min_words: int = 2) -> Data
     return kept.groupBy(F.lower("t").alias("title")).agg(F.min_by("qid", "pos").alias("qid"))
 
 
-def phrases(texts: DataFrame, most: int = 6) -> DataFrame:
-    """key, first, words, phrase: every run of up to `most` tokens of texts (key, text), with the raw text between them."""
+#: Cells into which the first words of titles are hashed; as many bits are sent to the executors, however many titles there are.
+CELLS = 1 << 20
+
+
+def _cell(word: str) -> int:
+    """Cell of a title's first word, the same for spellings that differ in case and marks."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).lower()
+    return zlib.crc32(plain[:12].encode("utf-8", "replace")) % CELLS
 
-    def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for key, text in zip(f["key"], f["text"]):
-                m = list(TOKEN.finditer(text or ""))
-                rows = [(key, i, n, text[m[i].start() : m[i + n - 1].end()]) for n in range(1, most + 1) for i in range(len(m) - n + 1)]
-                yield pd.DataFrame(rows, columns=["key", "first", "words", "phrase"])
 
-    return texts.select("key", "text").mapInPandas(cut, f"key {texts.schema['key'].dataType.simpleString()}, first int, words int, phrase string")
+def title_cells(titles: DataFrame) -> bytes:
+    """Which cells hold the first word of a title, one byte each."""
+
+    def cells(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            # as it is written, and with its marks taken off, which else end a token
+            forms = [x for t in f["title"] for x in (t, "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))]
+            found = {_cell(m.group()) for x in forms if (m := TOKEN.match(x))}
+            yield pd.DataFrame({"cell": sorted(found)})
+
+    held = bytearray(CELLS)
+    for r in titles.select("title").mapInPandas(cells, "cell int").distinct().toLocalIterator():
+        held[r.cell] = 1
+    return bytes(held)
+
+
+def phrases(texts: DataFrame, cells: bytes, most: int = 6) -> DataFrame:
+    """key, first, words, phrase: the runs of up to `most` tokens of texts (key, text), with the raw text between them, that begin as a title may."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins: dict[str, int] = {}
+        for b in batches:
+            rows: list[list] = [[], [], [], []]
+            for at, text in enumerate(b.column(1).to_pylist()):
+                m = [x.span() for x in TOKEN.finditer(text or "")]
+                for i, (low, high) in enumerate(m):
+                    word = text[low:high]
+                    good = begins.get(word)
+                    if good is None:
+                        if len(begins) > 1 << 18:
+                            begins.clear()
+                        good = begins[word] = cells[_cell(word)]
+                    if good:
+                        for n in range(1, min(most, len(m) - i) + 1):
+                            for column, x in zip(rows, (at, i, n, text[low : m[i + n - 1][1]])):
+                                column.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int32())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string())], ["key", "first", "words", "phrase"])
+
+    return texts.select("key", F.col("text").cast("string").alias("text")).mapInArrow(cut, f"key {texts.schema['key'].dataType.simpleString()}, first int, words int, phrase string")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -66,9 +107,10 @@ def _greedy(spans: pd.Series) -> pd.Series:
 def match(texts: DataFrame, titles: DataFrame, most: int = 6) -> DataFrame:
     """key, first, words, surface_form, qid of the titles (title, qid) found in texts (key, text).
 
-    Candidate phrases meet the dictionary by a join, so that it needn't fit a task; what overlaps is settled per text.
+    Only runs that begin with the first word of a title leave Python; they meet the dictionary by a join, so that it needn't
+    fit a task. What overlaps is settled per text.
     """
-    met = phrases(texts, most).withColumn("title", F.lower("phrase")).join(titles, "title")
+    met = phrases(texts, title_cells(titles), most).withColumn("title", F.lower("phrase")).join(titles, "title")
     rows = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "words", "phrase", "qid"))).alias("s"))
     kept = rows.withColumn("i", _greedy(F.transform("s", lambda x: F.struct(x["words"].alias("words"), x["first"].alias("first"))))).select("key", F.explode("i").alias("i"), "s")
     hit = F.element_at("s", F.col("i") + 1)

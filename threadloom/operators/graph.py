@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.keychunks import number_rows
+
 #: Predicates that tell an affiliation.
 RELATIONAL = ("party", "member_of", "founder", "employer")
 #: Words that every dispatch and biography shares.
@@ -46,7 +48,7 @@ def associations(links: DataFrame, edges: DataFrame, people: DataFrame, floor: f
 
 def family_names(labels: DataFrame, least: int = 4) -> DataFrame:
     """name, qid of each token after the first of a label (qid, norm) that has so many letters."""
-    later = F.expr("slice(split(norm, ' '), 2, 1000)")
+    later = F.expr("slice(split(norm, ' '), 2, greatest(0, size(split(norm, ' ')) - 1))")
     return labels.select("qid", F.explode(F.array_distinct(later)).alias("name")).filter(F.length("name") >= least)
 
 
@@ -60,7 +62,9 @@ def name_candidates(mentions: DataFrame, labels: DataFrame, people: DataFrame, s
     good = bare.join(people.select("qid").distinct(), "qid", "left_semi").select("mention_id", "qid", F.col("norm").alias("name"))
     index = family_names(labels)
     bearers = index.join(sizes.select("qid", "bytes"), "qid", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
-    ranked = bearers.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.col("bytes").desc(), "qid")) - 1).withColumn("bearers", F.count(F.lit(1)).over(Window.partitionBy("name")))
+    # names are numbered over range partitions, so a name that a third of all people bear is no task's alone
+    ranked = number_rows(bearers.withColumn("_less", -F.col("bytes")), ["name"], ["_less", "qid"]).withColumn("rank", (F.col("number") - 1).cast("int"))
+    ranked = ranked.join(bearers.groupBy("name").agg(F.count(F.lit(1)).alias("bearers")), "name")
     return good.join(ranked, ["name", "qid"]).filter((F.col("bearers") >= 2) & (F.col("rank") > 0) & (F.col("bytes") > 0) & (F.col("bytes") <= most_bytes)).select("mention_id", "name", "qid", "rank", "bearers")
 
 
@@ -70,9 +74,19 @@ def content_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(words).alias("word")).filter(~F.col("word").isin(*COMMON)).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def echo(passages: DataFrame, articles: DataFrame) -> DataFrame:
-    """passage, article, score: how much of the article's vocabulary the passage echoes; both have (key, word, n)."""
-    met = passages.toDF("passage", "word", "n").join(articles.toDF("article", "word", "m"), "word")
+def first_people(mentions: DataFrame, most: int = 6) -> DataFrame:
+    """doc_id, qid, pos of the first `most` mentions (doc_id, qid, pos) of each document."""
+    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "qid"))
+    return mentions.withColumn("_i", row).filter(F.col("_i") <= most).drop("_i")
+
+
+def echo(passages: DataFrame, articles: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """passage, article, score: how much of the article's vocabulary the passage echoes; both have (key, word, n).
+
+    With pairs (passage, article) only these meet, by passage and then by article and word; without them all that share a word.
+    """
+    a, b = passages.toDF("passage", "word", "n"), articles.toDF("article", "word", "m")
+    met = a.join(b, "word") if pairs is None else a.join(pairs.select("passage", "article").distinct(), "passage").join(b, ["article", "word"])
     term = F.log1p("m") * F.log1p("n") / F.log1p(F.length("word"))
     return met.groupBy("passage", "article").agg(F.sum(term).alias("score"))
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import strip, tokens
+
+#: An entity of more documents on a side has no array of them; the long form has it.
+MOST_LISTED = 100_000
 #: Entity types that anchor nothing.
 DROPPED_TYPES = ("DATE", "TIME", "CARDINAL", "ORDINAL", "QUANTITY", "PERCENT", "MONEY")
 
@@ -52,12 +56,15 @@ def build_bridges(links: DataFrame, max_private: int | None = None) -> DataFrame
     """links (doc_id, side, qid, surface_form) inverted to one row an entity: qid, private and public (sorted arrays), private_count, public_count.
 
     Rows without a qid take no part. With max_private only bridging entities are gathered (bridging()): entities that are
-    named nearly everywhere are dropped by their counts before any list is made. The long form is bridge_sides().
+    named nearly everywhere are dropped by their counts before any list is made. More than MOST_LISTED documents on a side
+    are an error: such an entity is for the long form, bridge_sides().
     """
     sides = bridge_sides(links)
     counts = bridge_counts(sides)
     if max_private is not None:
         counts = bridging(counts, max_private)
+    most = F.greatest("private_count", "public_count")
+    counts = counts.filter(F.when(most <= MOST_LISTED, True).otherwise(F.raise_error(F.concat(F.lit("too many documents for an array: "), "qid"))))
     sets = sides.join(counts.select("qid"), "qid", "left_semi").groupBy("qid").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("doc_id")))).alias(s) for s in ("private", "public")])
     return sets.join(counts, "qid").select("qid", "private", "public", "private_count", "public_count")
 
@@ -126,6 +133,61 @@ def verified_search(names: DataFrame, found: DataFrame) -> DataFrame:
     return met.filter(good).groupBy("name").agg(F.min_by("qid", "rank").alias("qid"))
 
 
+def names_in(columns: dict[str, bool], min_words: int = 1) -> Column:
+    """Array of the names that a record's columns carry, in their order (name -> whether it is an array): stripped, without blanks and names of fewer words."""
+    found = [strip_each(F.col(c) if many else F.array(c)) for c, many in columns.items()]
+    every = F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in found]))
+    return F.filter(every, lambda x: x.isNotNull() & (x != "") & (F.size(F.split(x, r"(?U)\s+")) >= min_words))
+
+
+def strip_each(c: Column) -> Column:
+    return F.transform(c, lambda x: strip(x))
+
+
+def bag(c: Column) -> Column:
+    """The sorted set of a name's tokens."""
+    return F.array_sort(F.array_distinct(tokens(c)))
+
+
+def searchable(variants: Column, most: int = 4) -> Column:
+    """The first `most` distinct variants of two tokens or more: a single token is a collision waiting to happen."""
+    return F.slice(F.filter(F.array_distinct(variants), lambda x: x.isNotNull() & (F.size(bag_or_empty(x)) >= 2)), 1, most)
+
+
+def bag_or_empty(c: Column) -> Column:
+    return F.coalesce(tokens(c), F.array().cast("array<string>"))
+
+
+def search_resolved(asked: DataFrame, hits: DataFrame, facts: DataFrame, kinds: dict[str, list[str]], most: int = 4) -> DataFrame:
+    """asked (id, variants, kind, years) to the one candidate that agrees on name, kind and birth year.
+
+    hits (variant, rank, qid, label) are what a search gave for each variant, facts (qid, label, classes, births) what is known
+    of the candidates. Of an id's first `most` variants of two tokens or more the candidates are tried in order of variant and
+    rank; a candidate needs a label (the hit's or its own) with the tokens of a variant, a class of its kind (kinds: kind ->
+    classes; another kind asks for none), and no birth year against the years. id, qid; none where no candidate agrees.
+    """
+    kept = asked.withColumn("variants", searchable(F.col("variants"), most)).withColumn("bags", F.transform("variants", bag))
+    each = kept.select("id", "kind", "years", "bags", F.posexplode("variants").alias("pos", "variant"))
+    met = each.join(hits.select("variant", "rank", "qid", F.col("label").alias("hit")), "variant").join(facts.select("qid", "label", "classes", "births"), "qid")
+    named = F.coalesce(F.array_contains("bags", bag(F.col("hit"))), F.lit(False)) | F.coalesce(F.array_contains("bags", bag(F.col("label"))), F.lit(False))
+    fits = F.lit(True)
+    for kind, classes in kinds.items():
+        fits = fits & ((F.coalesce("kind", F.lit("")) != kind) | F.coalesce(F.arrays_overlap("classes", F.array(*map(F.lit, classes))), F.lit(False)))
+    years = F.coalesce("years", F.array().cast("array<string>"))
+    born = (F.size(years) == 0) | (F.size(F.coalesce("births", F.array().cast("array<string>"))) == 0) | F.arrays_overlap(years, F.col("births"))
+    return met.filter(named & fits & born).groupBy("id").agg(F.min_by("qid", F.struct("pos", "rank", "qid")).alias("qid"))
+
+
+def restricted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key stands in keys."""
+    return rows.join(keys.select(key), key, "left_semi")
+
+
+def classes_present(rows: DataFrame, classes: str) -> DataFrame:
+    """class: every class that an array column of rows holds."""
+    return rows.select(F.explode(classes).alias("class")).filter(F.col("class").isNotNull()).distinct()
+
+
 def linking_report(documents: DataFrame, links: DataFrame) -> DataFrame:
     """One row: documents, those with an entity, mentions, distinct entities."""
     named = links.filter(F.col("qid").isNotNull())

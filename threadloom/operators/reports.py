@@ -90,3 +90,9 @@ def provenance_problems(kind: Column, fields: Column, kept: Column, dropped: Col
     had, left, named = F.array_except(fields, F.array_union(F.map_keys(kept), F.map_keys(dropped))), F.array_except(F.map_keys(kept), fields), F.map_keys(F.map_filter(dropped, lambda k, v: F.coalesce(F.trim(v), F.lit("")) == ""))
     checks = [F.when(~F.coalesce(kind.isin(*KINDS), F.lit(False)), "unknown kind"), F.when(F.size(had) > 0, "unexplained fields"), F.when(F.size(left) > 0, "kept keys that are no fields"), F.when(F.size(named) > 0, "dropped without a reason"), F.when(rows_out > rows_in, "more rows out than in")]
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def unanimous(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, agreed: the value that all rows of a key have, '' where they differ or one is null."""
+    t = rows.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("a"), F.count(F.lit(1)).alias("n"))
+    return t.select(key, F.when((F.col("lo") == F.col("hi")) & (F.col("a") == F.col("n")), F.col("lo")).otherwise("").alias("agreed"))

@@ -61,6 +61,21 @@ def event_windows(documents: DataFrame, entities: DataFrame, events: DataFrame,
     )
 
 
+def rendered(shown: dict[str, str]) -> Column:
+    """One line of an event: its filled columns (column -> what stands before the value), in order."""
+    parts = [F.concat(F.lit(label), F.nullif(F.col(c), F.lit(""))) for c, label in shown.items()]
+    return F.concat(F.lit("  - "), F.concat_ws(", ", *parts))
+
+
+def with_lines(matches: DataFrame, lines: DataFrame) -> DataFrame:
+    """matches (public_ids) with `rendered`, the lines (event_id, line) of their events in order; an event delivered twice counts once."""
+    each = matches.select("private_id", "anchor_qid", "anchor_label", F.posexplode("public_ids").alias("pos", "event_id"))
+    once = lines.groupBy("event_id").agg(F.min("line").alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
+    told = each.join(once, "event_id", "left").groupBy("private_id", "anchor_qid", "anchor_label").agg(text.alias("rendered"))
+    return matches.join(told, ["private_id", "anchor_qid", "anchor_label"])
+
+
 def focused(shared: Column, in_title: Column, places: Column) -> Column:
     """Some shared entity is no place, and either the title names one that is none or more than one is shared."""
     first, titled = F.slice(shared, 1, 4), F.slice(in_title, 1, 4)

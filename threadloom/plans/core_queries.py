@@ -267,17 +267,6 @@ def term_counts(spark, d):
     return graph.content_words(table(spark, d, "documents"), "doc_id", "text").groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, word, count(*) AS n FROM ({WORDS}) WHERE word NOT IN {COMMON_SQL} GROUP BY 1, 2), t AS (SELECT doc_id, word, count(*) AS m FROM ({WORDS.replace('lower(text)', 'lower(title)')}) WHERE word NOT IN {COMMON_SQL} GROUP BY 1, 2)
-SELECT doc_id, round(sum(ln(1 + m) * ln(1 + n) / ln(1 + length(word))), 6) AS score FROM w JOIN t USING (doc_id, word) GROUP BY 1""")
-def term_overlap(spark, d):
-    # each document's text against its own title
-    docs = table(spark, d, "documents")
-    told, named = graph.content_words(docs, "doc_id", "text"), graph.content_words(docs, "doc_id", "title")
-    keyed = lambda w: w.select("doc_id", F.concat_ws("\x1f", F.col("doc_id").cast("string"), "word").alias("key"), "word", "n")
-    term = F.log1p("m") * F.log1p("n") / F.log1p(F.length("word"))
-    return keyed(told).join(keyed(named).select("key", F.col("n").alias("m")), "key").groupBy("doc_id").agg(F.round(F.sum(term), 6).alias("score"))
-
-
 # ---- gates and reports
 
 HAS = lambda phrases: " OR ".join(f"contains(lower(q), '{p}')" for p in phrases)
@@ -365,24 +354,6 @@ def provenance_check(spark, d):
     return s.select("source", F.array_join(found, "").alias("problems"))
 
 
-@query("""WITH v AS (SELECT item_id, count(*) AS k FROM items GROUP BY item_id HAVING count(*) > 1) SELECT count(*) FILTER (v.item_id IS NOT NULL) AS kept, count(*) FILTER (v.item_id IS NULL) AS undecided FROM (SELECT DISTINCT item_id FROM items) i LEFT JOIN v USING (item_id)""")
-def verdict_merge(spark, d):
-    ids = table(spark, d, "items").groupBy("item_id").agg(F.count(F.lit(1)).alias("k"))
-    verdicts = ids.filter("k > 1").select("item_id", F.lit("keep").alias("verdict"))
-    return ids.join(verdicts, "item_id", "left").agg(F.count_if(F.col("verdict") == "keep").alias("kept"), F.count_if(F.col("verdict").isNull()).alias("undecided"))
-
-
-@query("""WITH t AS (SELECT item_id, count(DISTINCT answer) AS k, count(answer) AS a, count(*) AS n, min(answer) AS v FROM items GROUP BY item_id) SELECT item_id, CASE WHEN k = 1 AND a = n THEN v ELSE '' END AS agreed FROM t""")
-def unanimity(spark, d):
-    t = table(spark, d, "items").groupBy("item_id").agg(F.min("answer").alias("lo"), F.max("answer").alias("hi"), F.count("answer").alias("a"), F.count(F.lit(1)).alias("n"))
-    return t.select("item_id", F.when((F.col("lo") == F.col("hi")) & (F.col("a") == F.col("n")), F.col("lo")).otherwise("").alias("agreed"))
-
-
-@query("SELECT DISTINCT p_type AS class FROM part")
-def classes_present(spark, d):
-    return table(spark, d, "part").select(F.explode(F.array("p_type")).alias("class")).distinct()
-
-
 # ---- text
 
 @query(f"SELECT doc_id, array_to_string(list_distinct(list_transform({TAGGED}, lambda x: trim(x))), ' ') IS NOT NULL AS tagged, trim(regexp_extract(text, 'SUBJECT:\\s*(.{{0,120}})', 1)) AS subject FROM documents WHERE text IS NOT NULL AND source = 'cablegate'")
@@ -433,13 +404,6 @@ def record_text(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", text.record_lines({"s_name": F.col("s_name"), "s_acctbal": F.rint("s_acctbal").cast("bigint").cast("string")}).alias("text"))
 
 
-@query("""SELECT doc_id, '  - ' || array_to_string(list_filter([CASE WHEN date_start <> '' THEN 'date ' || date_start END, CASE WHEN country <> '' THEN 'country ' || country END, CASE WHEN side_a <> '' THEN 'one side ' || side_a END, CASE WHEN side_b <> '' THEN 'the other side ' || side_b END], lambda x: x IS NOT NULL), ', ') AS line FROM event_records""")
-def event_render(spark, d):
-    shown = (("date_start", "date "), ("country", "country "), ("side_a", "one side "), ("side_b", "the other side "))
-    parts = [F.concat(F.lit(label), F.nullif(F.col(c), F.lit(""))) for c, label in shown]
-    return table(spark, d, "event_records").select("doc_id", F.concat(F.lit("  - "), F.concat_ws(", ", *parts)).alias("line"))
-
-
 @query("SELECT DISTINCT doc_ref AS ref, split_part(doc_ref, ':', 1) AS source, regexp_extract(doc_ref, '^[^:]*:(.*)$', 1) AS doc_id FROM mentions")
 def ref_parts(spark, d):
     c = F.col("doc_ref")
@@ -476,15 +440,3 @@ def fold_labels(spark, d):
 def marked_spans(spark, d):
     docs = table(spark, d, "documents").filter(F.length("text") >= 12)
     return docs.select("doc_id", F.left("text", F.lit(12)).alias("head"), text.marked_span(F.col("text"), F.lit(0), F.lit(5)).alias("marked"))
-
-
-@query("SELECT p.item_id, length(d.text) AS private_chars, length(e.text) AS public_chars FROM (SELECT DISTINCT item_id, private_id, public_id FROM candidates) p LEFT JOIN documents d ON d.ref = p.private_id LEFT JOIN documents e ON e.ref = p.public_id")
-def evidence_lookup(spark, d):
-    docs = table(spark, d, "documents").select("ref", F.length("text").alias("n"))
-    c = table(spark, d, "candidates").select("item_id", "private_id", "public_id").distinct()
-    return c.join(docs.toDF("private_id", "private_chars"), "private_id", "left").join(docs.toDF("public_id", "public_chars"), "public_id", "left").select("item_id", "private_chars", "public_chars")
-
-
-@query("SELECT DISTINCT qid, label FROM entities WHERE qid IN (SELECT qid FROM mentions WHERE side = 'public')")
-def restrict_to(spark, d):
-    return ad.labels(spark, d).join(ad.links(spark, d).filter("side = 'public'").select("qid"), "qid", "left_semi").distinct()

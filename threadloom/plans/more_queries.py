@@ -45,21 +45,29 @@ def dictionary_match(spark, d):
     return dictionary.match(docs, _dictionary(spark, d))
 
 
+NORMAL = lambda c: f"array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ')"
 LABELED = """WITH one AS (SELECT doc_ref, a_qid, b_qid, shared_qid, min(a_surface) AS a_surface FROM associations WHERE a_qid IS NOT NULL AND b_qid IS NOT NULL GROUP BY 1, 2, 3, 4),
-art AS (SELECT qid, label, label || ' is known' AS text FROM entities)"""
+s AS (SELECT shared_qid, coalesce((SELECT min(e.label) FROM entities e WHERE e.qid = shared_qid), min(b_surface)) AS label FROM associations WHERE shared_qid IS NOT NULL GROUP BY shared_qid), near AS (SELECT a_qid AS qid, min(b_qid) AS other FROM associations GROUP BY 1),
+art AS (SELECT qid, label, label || ' is known' || CASE WHEN regexp_matches(qid, '[05]$') THEN ' beside ' || coalesce((SELECT min(o.label) FROM entities o WHERE o.qid = near.other), 'nobody') ELSE '' END AS text FROM entities LEFT JOIN near USING (qid))"""
 
 
-@query(LABELED + """, r AS (SELECT o.*, d.text AS private, a.label AS al, b.label AS bl, s.label AS sl, a.text AS ta, b.text AS tb FROM one o LEFT JOIN documents d ON d.ref = o.doc_ref LEFT JOIN art a ON a.qid = o.a_qid LEFT JOIN art b ON b.qid = o.b_qid LEFT JOIN art s ON s.qid = o.shared_qid),
+@query(LABELED + f""", r AS (SELECT o.*, d.text AS private, a.label AS al, b.label AS bl, s.label AS sl, a.text AS ta, b.text AS tb FROM one o LEFT JOIN documents d ON d.ref = o.doc_ref LEFT JOIN art a ON a.qid = o.a_qid LEFT JOIN art b ON b.qid = o.b_qid LEFT JOIN s ON s.shared_qid = o.shared_qid),
 n AS (SELECT *, CASE WHEN coalesce(private, '') = '' THEN 'no_private_text' WHEN coalesce(sl, '') = '' THEN 'no_answer' WHEN coalesce(ta, '') = '' OR coalesce(tb, '') = '' THEN 'no_article'
-WHEN a_qid = b_qid THEN 'co_occurring' ELSE 'other' END AS reason FROM r) SELECT reason, count(*) AS n FROM n GROUP BY 1""")
+WHEN contains({NORMAL('ta')}, {NORMAL("coalesce(bl, '')")}) OR contains({NORMAL('tb')}, {NORMAL("coalesce(al, '')")}) THEN 'co_occurring' WHEN contains({NORMAL('private')}, {NORMAL('sl')}) THEN 'answer_in_private' ELSE 'good' END AS reason FROM r) SELECT reason, count(*) AS n FROM n GROUP BY 1""")
 def association_reasons(spark, d):
-    # articles are made from the labels; the shared affiliations are no entities of the table, so most candidates lack an answer
-    a = table(spark, d, "associations").filter("a_qid is not null and b_qid is not null").groupBy(F.col("doc_ref").alias("doc_id"), "a_qid", "b_qid", "shared_qid").agg(F.min("a_surface").alias("a_surface"))
+    # articles are made from the labels, some of which tell of an associate; an affiliation is called after its first member
+    every = table(spark, d, "associations")
+    a = every.filter("a_qid is not null and b_qid is not null").groupBy(F.col("doc_ref").alias("doc_id"), "a_qid", "b_qid", "shared_qid").agg(F.min("a_surface").alias("a_surface"))
     docs = table(spark, d, "documents").select(F.col("ref").alias("id"), "text")
-    articles = ad.labels(spark, d).select(F.col("qid").alias("id"), F.concat("label", F.lit(" is known")).alias("text"))
-    made = typed.from_association(a, docs, articles, ad.labels(spark, d))
-    reason = F.when(F.col("reason").isin("no_private_text", "no_answer", "no_article", "co_occurring"), F.col("reason")).otherwise("other")
-    return made.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    shared = every.filter("shared_qid is not null").groupBy(F.col("shared_qid").alias("qid")).agg(F.min("b_surface").alias("label"))
+    known = ad.labels(spark, d)
+    shared = shared.join(known, "qid", "left_anti")
+    near = every.filter("a_qid is not null").groupBy(F.col("a_qid").alias("qid")).agg(F.min("b_qid").alias("other"))
+    other = known.groupBy(F.col("qid").alias("other")).agg(F.min("label").alias("other_label"))
+    beside = F.when(F.col("qid").rlike("[05]$"), F.concat(F.lit(" beside "), F.coalesce("other_label", F.lit("nobody")))).otherwise("")
+    articles = known.join(near, "qid", "left").join(other, "other", "left").select(F.col("qid").alias("id"), F.concat("label", F.lit(" is known"), beside).alias("text"))
+    made = typed.from_association(a, docs, articles.unionByName(shared.select(F.col("qid").alias("id"), F.lit("an affiliation").alias("text"))), known.unionByName(shared))
+    return made.groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH c AS (SELECT DISTINCT private_id, public_id, n_days FROM chronologies), t AS (SELECT ref, text FROM documents), r AS (SELECT c.*, CASE WHEN coalesce(a.text, '') = '' THEN 'no_private_text' WHEN coalesce(b.text, '') = '' THEN 'no_public_text' END AS reason FROM c LEFT JOIN t a ON a.ref = private_id LEFT JOIN t b ON b.ref = public_id)
@@ -142,26 +150,19 @@ def written_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", raw.alias("raw"), dates.dotted_date(raw).alias("iso"), dates.us_timestamp(american).alias("us"))
 
 
-@query("""WITH c AS (SELECT DISTINCT private_id, public_id, qid FROM pairs WHERE private_id IS NOT NULL AND public_id IS NOT NULL AND qid IS NOT NULL), k AS (SELECT qid FROM entities WHERE kind = 'person') SELECT qid, count(*) AS n FROM c WHERE qid IN (SELECT qid FROM k) GROUP BY qid""")
-def typed_bridges(spark, d):
-    people = table(spark, d, "entities").filter("kind = 'person'").select("qid")
-    return table(spark, d, "pairs").select("private_id", "public_id", "qid").dropna().distinct().join(people, "qid", "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+#: What white space is, in a class of the SQL engine's expressions.
+WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+STRIP = lambda c: f"regexp_replace({c}, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')"
+NARRATIVE = rf"""WITH b AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{text.NARRATIVE_START}') THEN regexp_extract(text, '{text.NARRATIVE_START}(.|\n)*', 0) ELSE text END AS t FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, {STRIP(f"regexp_replace(regexp_replace(t, '{text.CLASSIFICATION}', '', 'g'), '{text.MARKER_LINE}', '', 'g')")} AS t FROM b),
+l AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '\r\n|[\n\r\x{{0b}}\x{{0c}}\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {STRIP('x')} <> '') AS lines FROM m),
+s AS (SELECT *, len(lines) > 1 AND length({STRIP('lines[-1]')}) <= 30 AND len(regexp_split_to_array({STRIP('lines[-1]')}, '\s+')) <= 3 AS short FROM l)"""
 
 
-@query("""WITH s AS (SELECT doc_ref, qid, mention_id, confidence, row_number() OVER (PARTITION BY doc_ref ORDER BY mention_id, qid) AS i FROM (SELECT DISTINCT doc_ref, qid, mention_id, confidence FROM mentions WHERE entity_type = 'PERSON' AND qid IS NOT NULL)) SELECT doc_ref AS doc_id, qid, mention_id FROM s WHERE i <= 6""")
-def first_people(spark, d):
-    m = table(spark, d, "mentions").filter("entity_type = 'PERSON' and qid is not null").select(F.col("doc_ref").alias("doc_id"), "qid", "mention_id", "confidence").distinct()
-    return m.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("mention_id", "qid"))).filter("i <= 6").select("doc_id", "qid", "mention_id")
-
-
-NARRATIVE = "CASE WHEN strpos(text, chr(10) || ' 1. (') > 0 THEN 1 ELSE 0 END"
-
-
-@query(f"SELECT doc_id, length(text) >= 0 AS has_text, {NARRATIVE} AS numbered FROM documents WHERE text IS NOT NULL")
+@query(NARRATIVE + " SELECT doc_id, md5(array_to_string(CASE WHEN short THEN lines[:-2] ELSE lines END, chr(10))) AS body FROM s")
 def narrative(spark, d):
     docs = table(spark, d, "documents").filter("text is not null")
-    body = text.narrative_body(F.col("text"))
-    return docs.select("doc_id", (F.length(body) >= 0).alias("has_text"), F.contains("text", F.lit("\n 1. (")).cast("int").alias("numbered"))
+    return docs.select("doc_id", F.md5(text.narrative_body(F.col("text"))).alias("body"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 from pathlib import Path
@@ -72,11 +73,68 @@ def kept_by_verdict(items: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, D
     return joined.filter(F.col("verdict") == "keep").drop("verdict"), counts
 
 
-def freeze(items: DataFrame, sheet: DataFrame, digest: DataFrame, path: str) -> None:
-    """A release: items sorted by item_id, the datasheet and the table's fingerprint; sorting is by ranges, the order is that of the files."""
-    items.orderBy("item_id").write.mode("overwrite").json(f"{path}/questions")
-    sheet.coalesce(1).write.mode("overwrite").json(f"{path}/datasheet")
-    digest.coalesce(1).write.mode("overwrite").json(f"{path}/digest")
+def canonical_lines(items: DataFrame) -> DataFrame:
+    """line: each item's canonical JSON, null fields included, in the order of item_id (sorted by ranges)."""
+    whole = F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"})
+    return items.select("item_id", canonical_json(whole).alias("line")).orderBy("item_id", "line").select("line")
+
+
+def release_digest(lines: DataFrame) -> str:
+    """One SHA-256 over all lines in order: sequential by nature, so they pass the driver one part at a time and none is kept."""
+    h = hashlib.sha256()
+    for r in lines.toLocalIterator():
+        h.update(r.line.encode() + b"\n")
+    return h.hexdigest()
+
+
+def freeze(items: DataFrame, sheet: DataFrame, corpora: dict[str, dict], path: str) -> dict:
+    """A release: canonical lines of the items sorted by item_id, and a datasheet with their digest; the order of lines is that of the files.
+
+    sheet (section, name, n) is reports.datasheet(). The digest is that of the lines as written.
+    """
+    canonical_lines(items).write.mode("overwrite").text(f"{path}/questions")
+    spark = items.sparkSession
+    names = sorted(f.getPath().toString() for f in _listed(items, f"{path}/questions") if f.getPath().getName().startswith("part-"))
+    h = hashlib.sha256()
+    for name in names:  # file by file, in order
+        for r in spark.read.text(name).toLocalIterator():
+            h.update(r.value.encode() + b"\n")
+    told: dict = {"corpora": corpora, "sha256": h.hexdigest()}
+    for r in sheet.collect():  # one row for each type, gate and outcome
+        told.setdefault(r.section, {})[r.name] = r.n
+    fs, p = _hadoop(items, f"{path}/datasheet.json")
+    out = fs.create(p, True)
+    out.write(bytearray((canonical(told) + "\n").encode()))
+    out.close()
+    return told
+
+
+def _listed(df: DataFrame, path: str) -> list:
+    fs, p = _hadoop(df, path)
+    return list(fs.listStatus(p))
+
+
+CLAIMS = (("grounded", "Do these two documents actually support that answer?"), ("necessary", "Is that the right call about what is needed?"))
+
+
+def calibration_page(items: DataFrame, texts: DataFrame, title: str, most: int = 500) -> str:
+    """HTML on which people check what the pipeline concluded of `most` items by id: is the answer grounded, and are both sides needed.
+
+    items (item_id, question, answer, private_id, public_id, necessity), texts (id, text). A sample for people: its size is the feature.
+    """
+    rows = items.orderBy("item_id").limit(most)
+    for side in ("private", "public"):
+        rows = rows.join(texts.select(F.col("id").alias(f"{side}_id"), F.col("text").alias(side)), f"{side}_id", "left")
+    body = ""
+    for r in rows.orderBy("item_id").collect():
+        n = r.necessity
+        alone = [name for name, value in (("world knowledge alone", n and n.closed_book), ("the public record alone", n and n.public_only), ("the confidential document alone", n and n.private_only)) if value]
+        says = {"grounded": "yes, the judge verified it", "necessary": "answerable from " + " and ".join(alone) if alone else "both documents are needed"}
+        safe = lambda x: html.escape(x or "", quote=True)
+        claims = "".join(f"<fieldset name='{safe(r.item_id)}:{k}'><legend>{safe(q)}</legend><p>{safe(says[k])}</p><button value='agree'>Agree</button><button value='disagree'>Disagree</button></fieldset>" for k, q in CLAIMS)
+        sides = "".join(f"<section><h3>{name}</h3><pre>{safe(t) or '(not available)'}</pre></section>" for name, t in (("Confidential", r.private), ("Public", r.public)))
+        body += f"<article id='{safe(r.item_id)}'><h2>{safe(r.question)}</h2><p>{safe(r.answer)}</p>{sides}{claims}</article>"
+    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}"
 
 
 def review_page(items: DataFrame, title: str, most: int = 500, context: int = 200) -> str:
