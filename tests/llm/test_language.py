@@ -55,3 +55,13 @@ def test_cases(spark, weights):
 def test_notations(spark):
     df = spark.createDataFrame([("de-CH", "de"), ("fre", "fr"), ("Português", "pt"), ("en_GB", "en"), ("sv", "other"), ("zxx", None), ("??", None), ("", None)], "lang string, want string")
     assert all(r.got == r.want for r in df.withColumn("got", named_language(df.lang)).collect())
+
+
+def test_two_codewords_about_as_near_are_told(spark):
+    weights = language.fit([" ".join(x) for x in SAID.values()], list(SAID))
+    text = " ".join(SAID["de"])
+    docs = spark.createDataFrame([(1, text, "de")], "doc_id bigint, text string, lang string")
+    assert [r.ambiguous for r in language.document_languages(docs, weights).collect()] == [False]
+    # without weights every codeword is as near as any other
+    assert [r.ambiguous for r in language.document_languages(docs, weights * 0).collect()] == [True]
+    assert all(r.ambiguous for r in language.language_segments(docs, weights * 0).collect())

@@ -36,11 +36,8 @@ NOTATIONS = {
     "es": "es spa spanish espanol spanisch espagnol spagnolo castellano",
     "pt": "pt por portuguese portugues portugiesisch portugais portoghese",
 }
-#: Words that end in a stop within a sentence: titles and usual shortenings in names of bodies.
-SHORTENED = frozenset(
-    """prof dr min amb hr fr mr mrs ms mme mlle st sr sra dott ing hon rev gen col capt lt comm auth assn fdn agcy univ inst soc off chbr publ accts
-    mar insur med mtn rlys freed res welf trans surv navig inl bds for bd dept nat int intl gov art nr no vol ed""".split()
-)
+#: Words that usually end in a stop within a sentence: titles, and shortenings of kinds of bodies and of references.
+SHORTENED = frozenset("prof dr min amb hr fr mr mrs ms mme mlle st sr sra dott ing hon rev gen col capt lt comm assn univ inst soc off dept bd nat int intl gov art nr no vol ed".split())
 #: Short words that always have a capital in English or German, and are no names.
 CAPITALISED = frozenset("march april may june july marz mai juni juli".split())
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 250, 20_000
@@ -49,6 +46,8 @@ BUCKETS = 1 << 15
 LEAST_WORDS = 4
 #: A language counts in a mixed document if so many sentences are in it.
 LEAST_SENTENCES = 2
+#: Of two codewords nearer to each other in confidence than this, either may be meant.
+CLOSE = 0.3
 
 
 def codewords() -> np.ndarray:
@@ -223,9 +222,11 @@ def fitted(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int
     if not ids:
         return np.zeros((BUCKETS, CODE.shape[1]), np.float32)
     few = docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
-    sample = docs.join(F.broadcast(few), "doc_id", "left_semi").select(named_language(F.col("lang")).alias("named"), "text")
-    rows = sample.filter(F.col("named").isin(*LANGUAGES) & (F.length("text") <= chars)).limit(2 * len(ids)).collect()
-    return fit([r.text for r in rows], [r.named for r in rows])
+    sample = docs.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", named_language(F.col("lang")).alias("named"), "text")
+    kept = sample.filter(F.col("named").isin(*LANGUAGES) & (F.length("text") <= chars))
+    # one row an id, the same one whenever it is read, in order: repeated rows don't change the fit
+    rows = sorted((r[0], r[1].text, r[1].named) for r in kept.groupBy("doc_id").agg(F.min(F.struct("text", "named")).alias("r")).collect())
+    return fit([text for _, text, _ in rows], [named for _, _, named in rows])
 
 
 SEGMENT = "first_char: int, chars: int, lang: string, confidence: double, sentences: int, ambiguous: boolean"
@@ -250,7 +251,9 @@ def segments(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 page = (listed * 2 > size) & (direct * 8 > size)
                 counted = x.prose.astype(bool) & ~page[x.text] if len(x.first) else np.zeros(0, bool)
                 best, sure = decode(sentence_margins(s, x, weights))
-                first, text, best, sure = x.first[counted], x.text[counted], best[counted], sure[counted]
+                # how much nearer the nearest codeword is than the next
+                two = np.sort(sure, axis=1)[:, -2:]
+                first, text, best, sure, gap = x.first[counted], x.text[counted], best[counted], sure[counted], (two[:, 1] - two[:, 0])[counted]
                 fresh = np.ones(len(first), bool)
                 fresh[1:] = (text[1:] != text[:-1]) | (best[1:] != best[:-1])
                 run_at = np.flatnonzero(fresh)
@@ -259,7 +262,7 @@ def segments(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     mean = np.add.reduceat(sure[np.arange(len(first)), best], run_at) / sizes
                     begin = s.words[first[run_at]] - s.texts[text[run_at]]
                     until = np.where(np.append(text[run_at][1:] == text[run_at][:-1], False), np.append(s.words[first[run_at]][1:], 0), s.text_end[text[run_at]]) - s.texts[text[run_at]]
-                    columns = [begin, until - begin, np.array(LANGUAGES)[best[run_at]], np.round(mean, 4), sizes, mean < 0.6]
+                    columns = [begin, until - begin, np.array(LANGUAGES)[best[run_at]], np.round(mean, 4), sizes, np.add.reduceat(gap, run_at) / sizes < CLOSE]
                 else:
                     columns = [[], [], [], [], [], []]
                 types = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_()]
@@ -272,26 +275,27 @@ def segments(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def per_language(segmented: DataFrame) -> DataFrame:
-    """doc_id, lang and `spoken`: array of (lang, sentences, confidence), most sentences first."""
+    """doc_id, lang and `spoken`: array of (lang, sentences, confidence, ambiguous: whether most of these sentences are), most sentences first."""
     def held_by(code: str) -> Column:
         own = F.filter("segments", lambda x: x.lang == code)
         return F.struct(
             F.aggregate(own, F.lit(0), lambda a, x: a + x.sentences).alias("sentences"),
             F.aggregate(own, F.lit(0.0), lambda a, x: a + x.sentences * x.confidence).alias("sum"),
             F.lit(code).alias("lang"),
+            F.aggregate(own, F.lit(0), lambda a, x: a + F.when(x.ambiguous, x.sentences).otherwise(0)).alias("unsure"),
         )
 
     spoken = F.array(*map(held_by, LANGUAGES))
     held = F.filter(F.sort_array(spoken, asc=False), lambda x: x.sentences > 0)
-    shown = F.transform(held, lambda x: F.struct(x.lang.alias("lang"), x.sentences.alias("sentences"), F.round(x.sum / x.sentences, 4).alias("confidence")))
+    shown = F.transform(held, lambda x: F.struct(x.lang.alias("lang"), x.sentences.alias("sentences"), F.round(x.sum / x.sentences, 4).alias("confidence"), (x.unsure * 2 > x.sentences).alias("ambiguous")))
     return segmented.select("doc_id", "lang", shown.alias("spoken"))
 
 
 def document_languages(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """doc_id, lang, confidence of each document with sentences: its main language."""
+    """doc_id, lang, confidence, ambiguous of each document with sentences: its main language, and whether another is about as near."""
     weights = fitted(docs) if weights is None else weights
     main = per_language(segments(docs, weights)).filter(F.size("spoken") > 0).withColumn("main", F.col("spoken")[0])
-    return main.select("doc_id", "main.lang", "main.confidence")
+    return main.select("doc_id", "main.lang", "main.confidence", "main.ambiguous")
 
 
 def language_segments(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
