@@ -160,3 +160,14 @@ def test_reports(spark):
     assert f == reports.table_fingerprint(items.orderBy(F.desc("item_id")), ["item_id", "question"]).first() and f.rows == 24
     assert reports.table_fingerprint(items.limit(0), ["item_id"]).first().rows == 0
     assert one(spark, "", F.array_join(reports.provenance_problems(F.lit("x"), F.array(F.lit("a"), F.lit("b")), F.create_map(F.lit("c"), F.lit("")), F.create_map(F.lit("b"), F.lit(" ")), F.lit(1), F.lit(2)), ",")) == ("unknown kind,unexplained fields,kept keys that are no fields,dropped without a reason,more rows out than in",)
+
+
+def test_written_tables_are_discarded(spark):
+    from pathlib import Path
+
+    from threadloom.session import discard, shared_folder, written
+
+    discard(spark)
+    df = written(spark.range(5), "mine")
+    assert df.count() == 5 and discard(spark) == 1 and discard(spark) == 0
+    assert not list(Path(shared_folder(spark).removeprefix("file://")).glob("mine-*"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,19 +38,33 @@ def shared_folder(spark: SparkSession) -> str:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="threadloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
             os.environ["THREADLOOM_LOCAL_CHECKPOINTS"] = folder
         folder = f"file://{folder}" if folder.startswith("/") else folder
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, any executor may be lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that this process wrote to the shared folder, once the results that read them have been used; how many."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions that keep every core busy, and no fewer than the session's shuffles have."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
