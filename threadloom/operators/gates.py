@@ -16,7 +16,8 @@ ATTRIBUTION = (
     "the cable", "the cables", "the telegram", "the dispatch", "the document", "the documents", "both documents", "two documents", "the report", "the record", "the records", "public record", "public records",
     "the public record", "the event record", "event records", "the article", "the passage", "the text", "the excerpt", "as reported in", "as described in", "as stated in", "as mentioned in", "according to the", "in the source",
 )
-#: Looser attribution, scripts that the corpora never use, openers of polar questions and verdicts.
+#: Looser attribution, scripts that the corpora never use (ranges by their first and last characters, as SQL engines
+#: differ in escapes of code points), openers of polar questions and verdicts.
 REFERENTIAL = r"(?i)\b(?:(?:as\s+)?(?:described|noted|detailed|reported|recorded|mentioned|discussed|stated)\s+in\s+[\w\s.'’-]{0,40}?(?:diplomatic|embassy|cable|dispatch|archive)|diplomatic\s+(?:record|archive)s?|embassy\s+(?:report|reporting|cable))"
 FOREIGN = r"[Ѐ-ӿ֐-׿؀-ۿ　-ヿ一-鿿＀-￯]"
 POLAR = ("did", "do", "does", "is", "was", "were", "are", "has", "have", "had", "will", "would", "can", "could", "should")

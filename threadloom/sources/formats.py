@@ -24,19 +24,20 @@ UCDP_COLUMNS = (
     "side_b_new_id side_b number_of_sources source_article source_office source_date source_headline source_original where_prec where_coordinates where_description adm_1 adm_2 latitude longitude geom_wkt "
     "priogrid_gid country country_id region event_clarity date_prec date_start date_end deaths_a deaths_b deaths_civilians deaths_unknown best high low gwnoa gwnob"
 ).split()
-_ACTOR = "code name country known_group ethnic religion1 religion2 type1 type2 type3".split()
-_PLACE = "type name country adm1 lat long feature_id".split()
-GDELT_COLUMNS = [
-    *"event_id date month_year year fraction_date".split(), *[f"actor{i}_{c}" for i in (1, 2) for c in _ACTOR],
-    *"is_root_event event_code event_base_code event_root_code quad_class goldstein num_mentions num_sources num_articles avg_tone".split(),
-    *[f"{a}_geo_{c}" for a in ("actor1", "actor2", "action") for c in _PLACE], "date_added",
-]
+GDELT_COLUMNS = (
+    "event_id date month_year year fraction_date actor1_code actor1_name actor1_country actor1_known_group actor1_ethnic actor1_religion1 actor1_religion2 actor1_type1 actor1_type2 "
+    "actor1_type3 actor2_code actor2_name actor2_country actor2_known_group actor2_ethnic actor2_religion1 actor2_religion2 actor2_type1 actor2_type2 actor2_type3 is_root_event "
+    "event_code event_base_code event_root_code quad_class goldstein num_mentions num_sources num_articles avg_tone actor1_geo_type actor1_geo_name actor1_geo_country actor1_geo_adm1 "
+    "actor1_geo_lat actor1_geo_long actor1_geo_feature_id actor2_geo_type actor2_geo_name actor2_geo_country actor2_geo_adm1 actor2_geo_lat actor2_geo_long actor2_geo_feature_id "
+    "action_geo_type action_geo_name action_geo_country action_geo_adm1 action_geo_lat action_geo_long action_geo_feature_id date_added"
+).split()
 #: The prose fields of each kind of parliamentary record, and the length from which other text is prose.
 PROSE_FIELDS = {
     "Business": "Title Description InitialSituation SubmittedText ReasonText MotionText FederalCouncilResponseText FederalCouncilProposalText DraftText DocumentationText Proceedings SubmittedBy".split(),
     "Person": "FirstName LastName OfficialName PersonNumber".split(), "MemberCouncil": "FirstName LastName CantonName PartyName CouncilName".split(),
     "PersonInterest": "Name Function Description".split(), "PersonOccupation": "Name Description".split(), "Party": "PartyName PartyAbbreviation".split(),
 }
+#: The kinds of parliamentary records, in the order in which they are read.
 ENTITIES = ("Person", "MemberCouncil", "PersonInterest", "PersonOccupation", "Party", "Business")
 PROSE_CHARS = 40
 
