@@ -96,3 +96,48 @@ def test_long_names(spark):
     forms = spark.createDataFrame([("x" * 200_000,), ("x " * 50_000,), ("Giuseppe Morvembe",)], "surface_form string")
     entities = spark.createDataFrame(LABELS, "qid string, label string, kind string")
     assert [tuple(r) for r in variants(forms, entities).collect()] == [("Giuseppe Morvembe", "Q1")]
+
+
+def linked(spark, forms, entities):
+    forms, entities = spark.createDataFrame([(f,) for f in forms], "surface_form string"), spark.createDataFrame(entities, "qid string, label string, kind string")
+    return {(r.surface_form, r.qid) for r in link_spellings(forms, entities).collect()}
+
+
+def by_brute_force(forms, entities):
+    found = set()
+    for f in forms:
+        costs = sorted((round(c, 6), q) for q, label, kind in entities if (c := cost_of(f, label, kind)) is not None)
+        if costs and len({q for c, q in costs if c == costs[0][0]}) == 1:
+            found.add((f, costs[0][1]))
+    return found
+
+
+def test_common_tokens_lose_no_pair_and_hide_no_tie(spark):
+    given = [f"{c}{v}{d}o" for c in "BDFGKLMNPRST" for v in "ae" for d in "lnr"]
+    entities = [(f"P{i}", f"{g} A. Morvembe", "person") for i, g in enumerate(given)]  # a family name that every tenth label holds
+    entities += [(f"G{i}", f"Giuseppe {x}stugard", "person") for i, x in enumerate(("Oren", "Tolk", "Vind", "Zelm", "Quarn", "Brist", "Fjel", "Hask", "Jund", "Krev", "Lomb", "Nord"))]  # a common given name
+    entities += [(f"B{i}", f"Velden Office for {x} Surveys", "organisation") for i, x in enumerate(("Grain", "Border", "Water", "Press", "Trade", "Forest", "Mining", "Harbour", "Rail", "Road", "Census", "Tax"))]
+    entities += [("S", "Velden Chamber", "organisation"), ("M", "Karla Morvembes", "person"), ("A", "Grain Advisory Bureau", "organisation"), ("J", "Pravotteria Office Surveys", "organisation")]
+    entities += [(f"I{i}", f"Gorm A. B{x}ndel", "person") for i, x in enumerate(("a", "e", "i", "o", "u", "ra", "ri", "ro", "ru", "la", "le", "li"))]  # persons whose letters are GAB
+    entities += [(f"N{i}", f"Janedoe Tarn {x}", "organisation") for i, x in enumerate(("Alpha", "Beta"))] + [(f"D{i}", "Jane Doe", "person") for i in range(12)] + [("E", "Janedoes", "person")]
+    forms = ["Giuseppe Orenst.", "Giuseppe Tolk.", "G. Hask.", "Velden", "VELDEN", "Veldne", "Morvembe", "Morvmebe", "GAB", "G.A.B.", "Prav. Off. Surv.", "Prav. Surveys Office", "janedoe", "Jane Doe", "Balo Morv.", "B. Morvembe", "Bal. A. Morvmebe", "Morvembe Morvembe"]
+    forms += [f"{label.split()[-1]}, {label.split()[0][:3]}." for _, label, _ in entities] + [f"Veld. Off. f. {label.split()[3]} Surv." for q, label, _ in entities if q[0] == "B"]
+    want = by_brute_force(forms, entities)
+    assert {("Velden", "S"), ("GAB", "A"), ("Prav. Off. Surv.", "J"), ("Giuseppe Orenst.", "G0"), ("G. Hask.", "G7")} <= want and not {"Morvembe", "janedoe"} & {f for f, _ in want}
+    assert linked(spark, forms, entities) == want
+
+
+def test_short_tokens_that_transliteration_makes_alike_are_met(spark):
+    entities = [("Q1", "Ulrich Boer", "person"), ("Q2", "Zoe Tarnov", "person")]
+    forms = ["Ulrich Baar", "Ulrich Bor", "U. Bo", "Z. Tarnoff", "Z. Trn"]
+    assert linked(spark, forms, entities) == by_brute_force(forms, entities) != set()
+
+
+def test_pet_names_before_common_family_names(spark):
+    given = ["Giuseppe", *(f"{c}{v}{d}u" for c in "BDFKLM" for v in "ae" for d in "ln")]
+    families = ["Morvembe", "Tarnstov", "Quilgard", "Hasridge", "Zelmont", "Brunfjel"]
+    # each family name is held by more than ten labels and more than a hundredth of them
+    entities = [(f"{f}{g}", f"{g} {f}", "person") for i, f in enumerate(families) for g in given[:1] + [given[1 + (4 * i + j) % 24] for j in range(11)]]
+    entities += [(f"X{i}", f"{c}{v}tt Xav{i}", "person") for i, (c, v) in enumerate((c, v) for c in "RSTVWYZHJN" for v in "aeo")]
+    forms = [f"Loppo {f}" for f in families] + [f"{f}, Loppo" for f in families]
+    assert linked(spark, forms, entities) == {(x, f"{f}Giuseppe") for f in families for x in (f"Loppo {f}", f"{f}, Loppo")}

@@ -1,9 +1,11 @@
 """Linking of variant spellings of names to entities (problem 6).
 
-The distinct tokens of the entities' labels are indexed by their symmetric-delete neighbourhoods: a token and a spelling of
-it within k edits share a string that k deletions make of either. Spellings meet entities through the tokens so matched: the
-one that each label must have met (a person's family name, a body's first word), and its other tokens where they are rare. Where
-a must is common, a letter that the rest of the name has to share is part of the key. Each pair is then scored by an optimal
+Every spelling meets every entity that it can be read as, however common its names are. A spelling must have a token that
+stands for a certain one of the label (a person's family name, a body's first word), and each further token must stand for
+another of the label: the longest of these is the second half of the key. Which tokens stand for which is found over the distinct
+tokens of either side: by symmetric-delete neighbourhoods (a token and a spelling of it within k edits share a string that k deletions
+make of either), and by the first letters of abbreviations. Of entities that cost the same by their key alone the least and the
+greatest qid go on, which is enough to see that there are several. Each pair is then scored by an optimal
 assignment of its tokens, in which a token may be equal, misspelt, an initial, an abbreviation or a pet name. Pet names are learned
 from the spellings: a name that stands before many family names, of which nearly all have a bearer of one given name, and more than
 chance would have it, is short for that. A spelling means the entity of least cost, if no other has the same and no token speaks against it.
@@ -14,7 +16,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,8 +34,6 @@ BINDERS = frozenset("for of the and f de la le les du des der die das fur und et
 #: Edits allowed in a token of at least LONG_ENOUGH letters: more would take neighbouring names for each other. A token of
 #: more than LONGEST letters is no word; it is only met by its like.
 EDITS, LONG_ENOUGH, LONGEST = 1, 4, 40
-#: A label's token is rare, and so an entry to it, if at most this share of the labels (and 10 at least) hold it.
-RARE_SHARE = 0.01
 #: A pet name's given name has a bearer in this share of the families it stands before, in LEAST_FAMILIES of them, and the
 #: chance that any given name had so is exp(-SURE).
 PET_SHARE, LEAST_FAMILIES, SURE = 0.8, 3, 7.0
@@ -72,8 +72,9 @@ def edits_allowed(size: int) -> int:
 
 
 def deletions(token: Token) -> set[str]:
-    """Both forms of the token with as many letters left out as its length allows, or fewer."""
-    return {"".join(c for i, c in enumerate(t) if i not in gone) for t in token for k in range(edits_allowed(len(t)) + 1) for gone in map(set, combinations(range(len(t)), k))}
+    """Both forms of the token with EDITS letters left out, or fewer; a short one may be an edit from one of LONG_ENOUGH letters."""
+    most = EDITS if len(token[1]) <= LONGEST else 0
+    return {"".join(c for i, c in enumerate(t) if i not in gone) for t in token for k in range(most + 1) for gone in map(set, combinations(range(len(t)), k))}
 
 
 @functools.lru_cache(maxsize=1 << 18)
@@ -236,15 +237,23 @@ def body_cost(said: tuple[Token, ...], full: tuple[Token, ...], cost: float, met
     return cost if cost <= 2.4 else None
 
 
-def letters_of(others: Iterable[Token]) -> list[str]:
-    """The first two letters of each token: of two tokens within an edit, or of which one is an initial or abbreviation, some are shared."""
-    return sorted({c for t in others for form in t for c in form[:2]})
+#: Marks of what is no word and only met by its like: acronyms, names run together, initials, and nothing.
+MARKS = "#=^"
+
+
+def beside(others: Iterable[Token]) -> str:
+    """The longest of the tokens, an initial with its mark; empty if there are none."""
+    t = max((t[1] for t in others), key=lambda t: (len(t), t), default="")
+    return "^" + t if len(t) == 1 else t
 
 
 def label_tokens(entities: DataFrame) -> DataFrame:
-    """qid, label, kind, token, must, letters: the tokens of each label, its acronym and what it is when run together.
+    """token, besides, qid, label, kind, n: under which keys a label is met; n is the number of its tokens.
 
-    must: the one that a spelling has to meet; letters: the first letters of those of which it has to meet one besides.
+    token: the one that a spelling has to meet; besides: each of the others, and their initials. Spellings of one token
+    (besides is empty) cost the same for all persons of several names with this family name, and for all bodies of two
+    words with this first one; an acronym for all bodies that have it; any spelling for all labels of the same tokens. Of
+    such the least and the greatest qid stand for all.
     """
     named = entities.select("qid", "label", "kind").dropna(subset=["qid", "label"]).distinct()
 
@@ -255,76 +264,93 @@ def label_tokens(entities: DataFrame) -> DataFrame:
                 t = tokens(label)
                 if not t:
                     continue
-                must = t[-1] if kind == "person" else t[0]
-                besides = letters_of(t[:1] if kind == "person" else t[1:])
-                rows += [(qid, label, kind, x[1], x == must, besides) for x in dict.fromkeys(t) if len(x[1]) > 1 or x == must]
-                if len(t) >= 3:
-                    rows.append((qid, label, kind, "#" + acronym(t), False, []))
-                rows.append((qid, label, kind, "=" + run_together(t), False, []))
-            yield pd.DataFrame(rows, columns=["qid", "label", "kind", "token", "must", "letters"])
-
-    return named.mapInPandas(cut, "qid string, label string, kind string, token string, must boolean, letters array<string>")
+                person, words = kind == "person", [x[1] for x in t]
+                must, *others = words[::-1] if person else words
+                rows += [(must, x, words, qid, label, kind, len(t)) for x in sorted({*others, *("^" + x[0] for x in others)})]
+                if person or len(t) <= 2:
+                    rows.append((must, "", words if len(t) > MOST_SETS else [str(min(len(t), 2))], qid, label, kind, len(t)))
+                if kind == "organisation" and len(t) >= 3:
+                    rows.append(("#" + acronym(t), "", [], qid, label, kind, len(t)))
+                rows.append(("=" + run_together(t), "", words, qid, label, kind, len(t)))
+            yield pd.DataFrame(rows, columns=["token", "besides", "alike", "qid", "label", "kind", "n"])
+
+    rows = named.mapInPandas(cut, "token string, besides string, alike array<string>, qid string, label string, kind string, n int")
+    one = F.struct("qid", "label")
+    ends = rows.groupBy("token", "besides", "alike", "kind").agg(F.array_distinct(F.array(F.min(one), F.max(one))).alias("ends"), F.max("n").alias("n"))
+    return ends.select("token", "besides", "kind", "n", F.explode("ends").alias("e")).select("token", "besides", "e.qid", "e.label", "kind", "n")
 
 
 def form_tokens(forms: DataFrame) -> DataFrame:
-    """surface_form, token, letters: a spelling's tokens, what it is when run together, and the first letters of its other tokens."""
+    """surface_form, token, besides, n: a spelling's tokens, each with the longest of the others, their number, and what it is when run together."""
 
     def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for form in f["surface_form"]:
                 t = tokens(form)
-                once = list(dict.fromkeys(t))
-                # the letters of a long text's tokens are those of all of them
-                every = letters_of(t) if len(once) > MOST_SETS else None
-                rows += [(form, x[1], letters_of(y for y in t if y != x) if every is None else every) for x in once if len(x[1]) > 1]
+                longest = sorted(t, key=lambda x: (len(x[1]), x[1]))[-2:]
+                for x in dict.fromkeys(t):
+                    if len(x[1]) > 1:
+                        rows.append((form, x[1], beside(longest[:-1] if x == longest[-1] else longest[-1:]), len(t)))
                 if t:
-                    rows += [(form, mark + run_together(t), []) for mark in "#="]
-            yield pd.DataFrame(rows, columns=["surface_form", "token", "letters"])
+                    rows += [(form, mark + run_together(t), "", 0) for mark in "#="]
+            yield pd.DataFrame(rows, columns=["surface_form", "token", "besides", "n"])
 
-    return forms.mapInPandas(cut, "surface_form string, token string, letters array<string>")
+    return forms.mapInPandas(cut, "surface_form string, token string, besides string, n int")
+
+
+def abbreviations(full: str) -> set[str]:
+    """The first letter with each later one, and with each two later ones in order: how its abbreviations of up to five letters begin."""
+    ends: set[str] = set()
+    pairs: set[str] = set()
+    for c in reversed(full[1:]):
+        pairs |= {c + e for e in ends}
+        ends.add(c)
+    return {full[0] + e for e in ends | pairs}
 
 
 def neighbours(said: DataFrame, full: DataFrame) -> DataFrame:
-    """said, full: the distinct tokens (token) of either side that are within their edits, through strings that deletions make of both."""
+    """said, full: the distinct tokens (token) of either side of which the one can stand for the other, by keys that both give.
 
-    def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(t, k) for t in f["token"] for k in ([t] if t[0] in "#=" else deletions((letters(t), t)))]
-            yield pd.DataFrame(rows, columns=["token", "key"])
+    Such as are within their edits share a string that deletions make of both, abbreviations and initials their first letters.
+    """
+
+    def of_said(t: str) -> set[str]:
+        return {t} if t[0] in MARKS else deletions((letters(t), t)) | {"^" + t[0], "~" + t[:3] if len(t) <= 5 else ">" + t[:6]}
+
+    def of_full(t: str) -> set[str]:
+        if t[0] in MARKS or len(t) == 1:
+            return {t if t[0] in MARKS else "^" + t}
+        return deletions((letters(t), t)) | {"~" + x for x in abbreviations(t)} | {">" + t[:6]}
 
     def near(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            kept = [a == b or (a[0] not in "#=" and min(distance(x, y, EDITS) for x, y in zip((letters(a), a), (letters(b), b))) <= edits_allowed(max(len(a), len(b)))) for a, b in zip(f["said"], f["full"])]
+            kept = [a == b or (a[0] not in MARKS and token_cost((letters(a), a), (letters(b), b)) is not None) for a, b in zip(f["said"], f["full"])]
             yield f[kept]
 
-    keys = lambda df, name: df.select("token").distinct().mapInPandas(cut, "token string, key string").withColumnRenamed("token", name)
-    return keys(said, "said").join(keys(full, "full"), "key").select("said", "full").distinct().mapInPandas(near, "said string, full string")
+    def keys(df: DataFrame, of: Callable[[str], set[str]], name: str) -> DataFrame:
+        def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame([(t, k) for t in f["token"] for k in of(t)], columns=[name, "key"])
 
+        return df.distinct().mapInPandas(cut, f"{name} string, key string")
 
-def candidate_pairs(forms: DataFrame, entities: DataFrame) -> DataFrame:
-    """surface_form, qid, label, kind of the pairs to be scored."""
-    return meeting(written(form_tokens(forms), "form-tokens"), entities)
+    halves = full.select("token").union(full.select("besides").filter("besides != '' and not startswith(besides, '^')"))
+    return keys(said.select("token"), of_said, "said").join(keys(halves, of_full, "full"), "key").select("said", "full").distinct().mapInPandas(near, "said string, full string")
 
 
-def meeting(spoken: DataFrame, entities: DataFrame) -> DataFrame:
-    """candidate_pairs() of spellings cut by form_tokens(). What is read more than once is written."""
-    known = written(label_tokens(entities), "label-tokens")
-    total = known.select("qid").distinct().count()
-    common = F.col("labels") > max(10, int(total * RARE_SHARE))
-    held = known.groupBy("token").agg(F.countDistinct("qid").alias("labels"), F.max("must").alias("any")).filter(~common | F.col("any"))
-    entry = written(known.join(held.select("token", common.alias("common")), "token").filter(~F.col("common") | F.col("must") | F.col("token").rlike("^[#=]")), "name-index")
-    matched = written(neighbours(spoken, entry), "name-tokens").join(entry.select(F.col("token").alias("full"), "common").distinct(), "full")
-    met = spoken.join(matched, spoken["token"] == matched["said"]).select("surface_form", "full", "letters", "common")
-    columns = ["surface_form", "qid", "label", "kind"]
-    rare = met.filter(~F.col("common")).join(entry.withColumnRenamed("token", "full").drop("letters", "common"), "full").select(*columns)
-    by_letter = lambda df: df.filter("common").withColumn("letter", F.explode("letters")).drop("letters", "common")
-    hot = by_letter(met).join(by_letter(entry.withColumnRenamed("token", "full")), ["full", "letter"]).select(*columns)
-    return rare.union(hot).distinct()
+def meeting(spoken: DataFrame, entry: DataFrame, matched: DataFrame) -> DataFrame:
+    """surface_form, qid, label, kind of the pairs to be scored: spellings by form_tokens(), labels by label_tokens() and what stands for what."""
+    musts = matched.join(entry.select(F.col("token").alias("full")).distinct(), "full", "left_semi")
+    met = spoken.withColumnRenamed("token", "said").join(musts, "said").select("surface_form", F.col("full").alias("token"), "besides", F.col("n").alias("least"))
+    word = F.expr("besides != '' and not startswith(besides, '^')")
+    by_word = met.filter(word).withColumnRenamed("besides", "said").join(matched, "said").select("surface_form", "token", F.col("full").alias("besides"), "least")
+    pairs = met.filter(~word).union(by_word).join(entry, ["token", "besides"]).filter("least <= n")
+    return pairs.select("surface_form", "qid", "label", "kind").distinct()
 
 
-def pet_names(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """said, given: pet names and what they are short for, learned from pairs (surface_form, label, kind) of spellings and persons.
+def pet_names(spoken: DataFrame, entities: DataFrame) -> DataFrame:
+    """said, given: pet names and what they are short for, learned from the tokens (surface_form, token) of spellings.
 
     said is no token of any label. Of the families that it stands before PET_SHARE have a bearer of the given name, at
     least LEAST_FAMILIES; and as a family of k given names out of all G has a certain one with chance k/G, these
@@ -337,18 +363,19 @@ def pet_names(pairs: DataFrame, entities: DataFrame) -> DataFrame:
 
     def unmet(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for form, label in zip(f["surface_form"], f["label"]):
-                said, full = tokens(form), tokens(label)
-                if len(full) > 1 and full[-1] in said and not any(token_cost(t, full[0]) is not None for t in said):
-                    rows += [(t[1], full[0][1], full[-1][1]) for t in said if len(t[1]) > 1 and t != full[-1]]
-            yield pd.DataFrame(rows, columns=["said", "given", "family"])
+            kept = [not any(token_cost(t, (letters(given), given)) is not None for t in tokens(form)) for form, given in zip(f["surface_form"], f["given"])]
+            yield f.loc[kept, ["said", "given", "family"]]
 
     people = written(entities.filter("kind = 'person'").select("label").dropna().distinct().mapInPandas(first_and_family, "given string, family string").distinct(), "people")
     given = people.select("given").distinct().count()
     names = people.groupBy("family").agg((F.count(F.lit(1)) / F.lit(float(max(1, given)))).alias("chance"))
     known = people.select(F.explode(F.array("given", "family")).alias("said")).distinct()
-    seen = pairs.filter("kind = 'person'").select("surface_form", "label").mapInPandas(unmet, "said string, given string, family string").distinct().join(known, "said", "left_anti").join(names, "family")
+    words = spoken.filter("not rlike(token, '^[#=]')").select("surface_form", F.col("token").alias("said"))
+    families = words.withColumnRenamed("said", "family").join(names.select("family"), "family", "left_semi")
+    before = written(words.join(known, "said", "left_anti").join(families, "surface_form"), "before-families")
+    # a name before fewer families can't be told
+    enough = before.groupBy("said").agg(F.countDistinct("family").alias("of")).filter(F.col("of") >= LEAST_FAMILIES).select("said")
+    seen = before.join(enough, "said", "left_semi").join(people, "family").mapInPandas(unmet, "said string, given string, family string").distinct().join(names, "family")
     families = seen.groupBy("said").agg(F.countDistinct("family").alias("of"))
     told = seen.groupBy("said", "given").agg(F.count(F.lit(1)).alias("n"), F.sum(-F.log("chance")).alias("sure")).join(families, "said")
     good = told.filter((F.col("n") >= LEAST_FAMILIES) & (F.col("n") >= PET_SHARE * F.col("of")) & (F.col("sure") >= SURE))
@@ -364,7 +391,8 @@ def link_spellings(forms: DataFrame, entities: DataFrame) -> DataFrame:
     without a qid or label take no part. Empty tables give no rows.
     """
     spoken = written(form_tokens(forms.select("surface_form").dropna().distinct()), "form-tokens")
-    pairs = written(meeting(spoken, entities), "name-pairs")
+    entry = written(label_tokens(entities), "name-index")
+    matched = written(neighbours(spoken, entry), "name-tokens")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,12 +402,14 @@ def link_spellings(forms: DataFrame, entities: DataFrame) -> DataFrame:
             yield out.filter(pa.compute.is_valid(out.column(2)))
 
     costs = lambda df: df.select("surface_form", "qid", "label", "kind", "pets").mapInArrow(score, "surface_form string, qid string, cost double")
+    pairs = written(meeting(spoken, entry, matched), "name-pairs")
     plain = written(costs(pairs.withColumn("pets", F.lit(None).cast("array<string>"))), "name-costs")
-    # pet names are learned from the spellings that mean nobody so far; what holds one (a few for a name) is scored again
-    pets = pet_names(pairs.join(plain.select("surface_form").distinct(), "surface_form", "left_anti"), entities)
+    # pet names are learned from the spellings that mean nobody so far; what holds one (a few for a name) is met and scored again
+    pets = written(pet_names(spoken.join(plain.select("surface_form").distinct(), "surface_form", "left_anti"), entities), "pet-names")
     held = spoken.join(pets.withColumnRenamed("said", "token"), "token").groupBy("surface_form").agg(F.collect_set(F.concat_ws(">", "token", "given")).alias("pets"))
-    held = written(held, "pet-names")
-    scored = plain.join(held, "surface_form", "left_anti").unionByName(costs(pairs.join(held, "surface_form"))).withColumn("cost", F.round("cost", 6))
+    held = written(held, "held-pets")
+    again = meeting(spoken.join(held, "surface_form", "left_semi"), entry, matched.union(pets)).join(held, "surface_form")
+    scored = plain.join(held, "surface_form", "left_anti").unionByName(costs(again)).withColumn("cost", F.round("cost", 6))
     # the least and the greatest qid of least cost: the same if there is but one
     least = scored.groupBy("surface_form").agg(F.min(F.struct("cost", "qid")).alias("a"), F.max(F.struct((-F.col("cost")).alias("cost"), "qid")).alias("b"))
     return least.filter("a.qid = b.qid").select("surface_form", F.col("a.qid").alias("qid"), F.col("a.cost").alias("cost"))
