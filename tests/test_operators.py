@@ -1,5 +1,5 @@
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +100,45 @@ def test_temporal(spark):
     assert one(spark, "PREL,x", temporal.topics_of(F.split("c", ",")), temporal.reports_on(F.lit("Mission Geneva"))) == (["Internationale Politik"], True)
 
 
+def test_topical_pairs_by_brute_force(spark):
+    draw = random.Random(3)
+    names = {f"Q{k}": ("Abc" if k == 8 else f"Name{k}") for k in range(9)}  # Q8's label is too short, Q9 has none
+    place = {q: k in (1, 2, 5) for k, q in enumerate(names)}
+    labels = spark.createDataFrame([(q, n, "" if q == "Q7" else n.lower(), place[q]) for q, n in names.items()], "qid string, label string, norm string, place boolean")
+    day = lambda: date(2000, 1, 1) + timedelta(draw.randrange(500)) if draw.random() < 0.95 else None
+    topics = lambda: draw.sample(["Energie", "Migration", "Umwelt", "Sport", "Tanz"], draw.randrange(3))
+    qids = lambda: draw.sample([f"Q{k}" for k in range(10)], draw.randrange(8))
+    cables = [(f"c{k}", day(), topics(), qids()) for k in range(60)]
+    items = [(f"i{k}", day(), draw.choice([None, "", *(f"on name{n} and name{m}" for n in range(9) for m in range(9))]), topics(), qids()) for k in range(60)]
+    ignored = {q for q in names if sum(q in c[3] for c in cables) > 0.35 * len(cables)}
+    want = {}
+    for c, a, at, cq in cables:
+        for i, b, title, it, iq in items:
+            shared = [q for q in cq if q in iq and len(names.get(q, "")) > 3 and q not in ignored]
+            if a and b and abs((a - b).days) <= 90 and {*at} & {*it} and shared:
+                titled = [q for q in shared if q != "Q7" and names[q].lower() in (title or "").split()][:4]
+                good = any(not place[q] for q in shared[:4]) and (any(not place[q] for q in titled) or len(shared) > 1)
+                want[c, i] = (abs((a - b).days), shared[:4], titled, good)
+    assert ignored and len({len(w[1]) for w in want.values()}) == 4 and len({w[3] for w in want.values()}) == 2
+    left = spark.createDataFrame(cables * 2, "doc_id string, date date, topics array<string>, qids array<string>")
+    right = spark.createDataFrame(items * 2, "doc_id string, date date, title string, topics array<string>, qids array<string>")
+    for wide in (64, 3, 0):
+        rows = temporal.topical_pairs(left, right, labels, max_share=0.35, wide=wide).collect()
+        assert len(rows) == len(want) and {(r[0], r[1]): tuple(r)[2:] for r in rows} == want
+    none = temporal.topical_pairs(left.limit(0), right.limit(0), labels)
+    assert none.count() == 0
+
+
+def test_topical_pairs_are_made_where_documents_meet(spark):
+    left = spark.createDataFrame([("c", date(2005, 3, 1), "TAGS: ECON", ["Q2"])], "doc_id string, date date, text string, qids array<string>").withColumn("topics", temporal.topics_of(text.tags_in(F.col("text"))))
+    right = spark.createDataFrame([("i", date(2005, 4, 1), "x", ["Wirtschaft"], ["Q2"])], "doc_id string, date date, title string, topics array<string>, qids array<string>")
+    labels = spark.createDataFrame([("Q2", "Swissair", "swissair", False)], "qid string, label string, norm string, place boolean")
+    plan = temporal.topical_pairs(left, right, labels)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join [qid#")]
+    assert "Exchange" not in above and "Aggregate" not in above  # pairs are far more than documents
+    assert left.select("topics")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("Q1", "party", "Q7"), ("Q2", "party", "Q7"), ("Q1", "employer", "Q8"), ("Q2", "employer", "Q8"), ("Q3", "employer", "Q8"), ("Q3", "party", "Q1")], "qid string, predicate string, neighbour string")
     l = spark.createDataFrame([("d", 0, "Q1", "a", 0.99), ("d", 1, "Q2", "b", 0.99), ("d", 2, "Q3", "c", 0.99), ("d", 3, "Q2", "b", 0.5)], "doc_id string, pos int, qid string, surface_form string, confidence double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import contains_tokens
+from threadloom.session import parts
 
 #: Subject tags and the categories that they stand for.
 CROSSWALK = {
@@ -14,6 +17,7 @@ CROSSWALK = {
     "ETRD": ("Wirtschaft",), "EINV": ("Wirtschaft",), "EIND": ("Wirtschaft",), "EFIN": ("Finanzwesen",), "ENRG": ("Energie",), "SENV": ("Umwelt",), "TBIO": ("Gesundheit",), "KFLU": ("Gesundheit",),
     "KIPR": ("Recht Allgemein",), "KCRM": ("Recht Allgemein",), "KJUS": ("Recht Allgemein",), "CVIS": ("Recht Allgemein",), "KPAO": ("Medien und Kommunikation",), "EAGR": ("Landwirtschaft",), "EDUC": ("Bildung",),
 }
+CATEGORIES = sorted({c for x in CROSSWALK.values() for c in x})
 #: Posts whose reports are in scope.
 POSTS = ("bern", "geneva")
 
@@ -24,15 +28,18 @@ def reports_on(origin: Column, posts: tuple[str, ...] = POSTS) -> Column:
 
 def topics_of(tags: Column) -> Column:
     """Sorted categories of an array of tags."""
-    made = [F.when(F.array_contains(tags, k), F.array(*map(F.lit, v))) for k, v in CROSSWALK.items()]
-    return F.array_sort(F.array_distinct(F.flatten(F.filter(F.array(*made), lambda x: x.isNotNull()))))
+    # the tags stand in the expression once: it is evaluated as often as it is named
+    cross = F.create_map(*[x for k, v in CROSSWALK.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    made = F.filter(F.transform(F.filter(tags, lambda x: x.isNotNull()), lambda x: F.try_element_at(cross, x)), lambda x: x.isNotNull())
+    return F.coalesce(F.array_sort(F.array_distinct(F.flatten(made))), F.array().cast("array<string>"))
 
 
-def by_windows(left: DataFrame, right: DataFrame, keys: list[str], window: int) -> DataFrame:
+def by_windows(left: DataFrame, right: DataFrame, keys: list[str], window: int, tasks: int | None = None) -> DataFrame:
     """left and right (each with keys and a date column `date`) at most `window` days apart.
 
     Time is cut into buckets as long as the window, and the right side is copied to the two neighbours of its
     bucket: an equi-join for Spark, whatever the window is. Right columns other than the keys get the prefix r_.
+    tasks: the join's, where small sides make many rows; else Spark chooses by the sides' size.
     """
     width = max(window, 1)
     day = F.unix_date("date")
@@ -40,6 +47,8 @@ def by_windows(left: DataFrame, right: DataFrame, keys: list[str], window: int)
     renamed = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
     b = F.floor(F.unix_date("r_date") / width)
     copies = renamed.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
+    if tasks:
+        a, copies = a.repartition(tasks, *keys, "_b"), copies.repartition(tasks, *keys, "_b")
     return a.join(copies, [*keys, "_b"]).filter(F.abs(F.datediff("r_date", "date")) <= window).drop("_b")
 
 
@@ -82,31 +91,65 @@ def focused(shared: Column, in_title: Column, places: Column) -> Column:
     return (F.size(F.array_except(first, places)) > 0) & ((F.size(F.array_except(titled, places)) > 0) | (F.size(first) > 1))
 
 
-def topical_pairs(cables: DataFrame, items: DataFrame, labels: DataFrame, window: int = 90, max_share: float = 0.15) -> DataFrame:
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with `topics` as bits of the fixed categories, and `others`, the topics that are none."""
+    bits = [F.when(F.array_contains("topics", c), 1 << i).otherwise(0) for i, c in enumerate(CATEGORIES)]
+    return docs.withColumns({"others": F.array_except("topics", F.array(*map(F.lit, CATEGORIES))), "topics": reduce(Column.bitwiseOR, bits)})
+
+
+def _told(pairs: DataFrame) -> DataFrame:
+    """What topical_pairs() returns, of pairs (private_id, public_id, days_apart, shared, in_title, places), all shared entities in order."""
+    shared, titled = F.col("shared"), F.col("in_title")
+    # nearly all pairs share one entity: there the rule is short
+    alone = ~F.array_contains("places", shared[0]) & (F.size(titled) > 0)
+    told = F.when(F.size(shared) == 1, alone).otherwise(focused(shared, titled, F.col("places")))
+    return pairs.select("private_id", "public_id", "days_apart", F.slice(shared, 1, 4).alias("shared"), F.slice(titled, 1, 4).alias("in_title"), told.alias("focused"))
+
+
+def topical_pairs(cables: DataFrame, items: DataFrame, labels: DataFrame, window: int = 90, max_share: float = 0.15, wide: int = 64) -> DataFrame:
     """cables (doc_id, date, topics, qids) and items (doc_id, date, title, topics, qids) that share time, topic and entity.
 
     labels (qid, label, norm, place): usable are labelled entities of more than three letters that no more than max_share of
     the cables name, in the cable's order. private_id, public_id, days_apart (unsigned), shared, in_title, focused.
-    A label that normalises to nothing is in no title.
+    A label that normalises to nothing is in no title. Rows of one doc_id are one document, of the earliest date and with the
+    topics, titles and entities of all; rows without a date count for max_share only. The result doesn't depend on `wide`.
     """
-    total = cables.count()
-    named = cables.filter(F.size("topics") > 0).select("doc_id", "date", "topics", F.posexplode("qids").alias("pos", "qid"))
-    every = cables.select("doc_id", F.explode(F.array_distinct("qids")).alias("qid")).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_share * total)
-    usable = named.filter(F.col("date").isNotNull()).join(every, "qid", "left_anti").join(labels.filter(F.length("label") > 3), "qid")
-    public = items.filter(F.col("date").isNotNull()).select(F.explode(F.array_distinct("qids")).alias("qid"), "date", "doc_id", "title", F.col("topics").alias("item_topics"))
-    # entity and time bucket are the join's keys: far fewer rows meet than by topic and month
-    met = by_windows(usable, public, ["qid"], window).filter(F.arrays_overlap("topics", "r_item_topics"))
-    found = met.groupBy("doc_id", "r_doc_id", "qid").agg(
-        F.min("pos").alias("pos"), F.min("date").alias("date"), F.min("r_date").alias("r_date"), F.max(contains_tokens(F.col("r_title"), F.col("norm")).cast("int")).alias("titled"), F.max(F.col("place").cast("int")).alias("place")
-    )
-    order = F.array_sort(F.collect_list(F.struct("pos", "qid", "titled", "place")))
-    pairs = found.groupBy("doc_id", "r_doc_id").agg(order.alias("e"), F.max(F.abs(F.datediff("r_date", "date"))).alias("days_apart"))
-    pick = lambda c, f: F.transform(F.filter(c, f), lambda x: x.qid)
-    shared, titled = F.transform("e", lambda x: x.qid), pick(F.col("e"), lambda x: x.titled == 1)
-    places = pick(F.col("e"), lambda x: x.place == 1)
-    return pairs.select(
-        F.col("doc_id").alias("private_id"), F.col("r_doc_id").alias("public_id"), "days_apart", F.slice(shared, 1, 4).alias("shared"), F.slice(titled, 1, 4).alias("in_title"), focused(shared, titled, places).alias("focused")
-    )
+    total, widest = cables.select(F.lit(1).alias("c"), F.size("qids").alias("n")).union(items.select(F.lit(0), F.size("qids"))).agg(F.sum("c"), F.max("n")).first()
+    every = cables.select("doc_id", F.explode(F.array_distinct("qids")).alias("qid")).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_share * (total or 0))
+    dated, known = F.col("date").isNotNull(), labels.filter(F.length("label") > 3)
+    day, topics = F.min("date").alias("date"), F.array_distinct(F.flatten(F.collect_set("topics"))).alias("topics")
+    usable = cables.filter(dated & (F.size("topics") > 0)).select("doc_id", "date", "topics", F.posexplode("qids").alias("pos", "qid")).join(every, "qid", "left_anti").join(known, "qid")
+    order = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "qid"))), lambda x: x.qid)).alias("qids")
+    private = _marked(usable.groupBy("doc_id").agg(day, topics, order, F.collect_set(F.when(F.col("place"), F.col("qid"))).alias("places")))
+    named = items.filter(dated).select("doc_id", "date", "topics", "title", F.explode(F.array_distinct("qids")).alias("qid")).join(known, "qid")
+    titled = F.when(contains_tokens(F.col("title"), F.col("norm")), F.col("qid"))
+    public = _marked(named.groupBy("doc_id").agg(day, topics, F.collect_set("qid").alias("qids"), F.collect_set(titled).alias("titled")))
+
+    def met(items: DataFrame, cables: DataFrame) -> DataFrame:
+        # entity and time bucket are the join's keys: far fewer rows meet than by topic and month. Small sides make many pairs
+        tasks = max(parts(cables.sparkSession), 4 * cables.sparkSession.sparkContext.defaultParallelism)
+        one = F.col("topics").bitwiseAND(F.col("r_topics")) != 0
+        return by_windows(items, cables, ["qid"], window, tasks).filter(one | ((F.size("others") > 0) & F.arrays_overlap("others", "r_others")))
+
+    ids = F.col("r_doc_id").alias("private_id"), F.col("doc_id").alias("public_id"), F.abs(F.datediff("date", "r_date")).alias("days_apart")
+    # both documents' entities stand in the row: the first that they share makes the pair, once and whole, so no pair is shuffled
+    each = private.select("doc_id", "date", "topics", "others", "places", F.size("qids").alias("n"), "qids", F.posexplode("qids").alias("pos", "qid"))
+    each = each.select(*[c for c in each.columns if c not in ("qids", "pos")], F.slice("qids", 1, F.col("pos")).alias("before"), F.slice("qids", F.col("pos") + 2, F.col("n")).alias("after"))
+    facing = public.select("*", F.explode("qids").alias("qid"))
+    narrow = (facing, each) if widest is None or widest <= wide else (facing.filter(F.size("qids") <= wide), each.filter(F.col("n") <= wide))
+    more = F.size("qids") > 1
+    first = met(*narrow).filter((F.size("r_before") == 0) | ~(more & F.arrays_overlap("r_before", "qids")))
+    shared = F.when(more & (F.size("r_after") > 0), F.concat(F.array("qid"), F.array_intersect("r_after", "qids"))).otherwise(F.array("qid"))
+    found = _told(first.select(*ids, shared.alias("shared"), "titled", F.col("r_places").alias("places")).withColumn("in_title", F.array_intersect("shared", "titled")))
+    if widest is None or widest <= wide:
+        return found
+    # documents of many entities would be copied whole for each of them: their rows carry one entity, and their pairs are put together
+    lone = private.select("doc_id", "date", "topics", "others", F.size("qids").alias("n"), F.posexplode("qids").alias("pos", "qid"), "places").withColumn("place", F.array_contains("places", F.col("qid"))).drop("places")
+    faced = public.select("doc_id", "date", "topics", "others", F.size("qids").alias("m"), F.explode("qids").alias("qid"), "titled").withColumn("in_title", F.array_contains("titled", F.col("qid"))).drop("titled")
+    some = met(faced.filter(F.col("m") > wide), lone).union(met(faced.filter(F.col("m") <= wide), lone.filter(F.col("n") > wide)))
+    all_of = some.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("r_pos", "qid", "in_title", "r_place"))).alias("e"))
+    pick = lambda f: F.transform(F.filter("e", f), lambda x: x.qid)
+    return found.union(_told(all_of.select("private_id", "public_id", "days_apart", pick(lambda x: F.lit(True)).alias("shared"), pick(lambda x: x.in_title).alias("in_title"), pick(lambda x: x.r_place).alias("places"))))
 
 
 def chronologies(pairs: DataFrame, most: int = 365) -> DataFrame:

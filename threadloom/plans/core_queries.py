@@ -160,12 +160,14 @@ def _sides(spark, d):
     """Tagged cables, and other documents with half of the topics by their number: the tables hold no categories of their own."""
     docs = table(spark, d, "documents")
     named = ad.links(spark, d).dropna(subset=["qid"]).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "qid"))), lambda x: x.qid).alias("qids"))
-    base = docs.select(F.col("ref").alias("doc_id"), F.col("doc_ts").cast("date").alias("date"), "source", "text", "title", F.col("doc_id").alias("n")).join(named, "doc_id")
-    cables = base.filter("source = 'cablegate'").withColumn("topics", temporal.topics_of(text.tags_in(F.coalesce("text", F.lit(""))))).withColumn("qids", F.array_distinct("qids"))
+    base = docs.select(F.col("ref").alias("doc_id"), F.col("doc_ts").cast("date").alias("date"), "source", "text", "title", F.col("doc_id").alias("n"))
+    # topics are told before the documents meet their entities: no text is shuffled
+    cables = base.filter("source = 'cablegate'").select("doc_id", "date", temporal.topics_of(text.tags_in(F.coalesce("text", F.lit("")))).alias("topics"))
     cats = sorted({c for x in temporal.CROSSWALK.values() for c in x})
     half = len(cats) // 2
-    items = base.filter("source <> 'cablegate'").withColumn("topics", F.slice(F.array(*map(F.lit, cats)), F.when(F.col("n") % 2 == 0, 1).otherwise(half + 1), F.lit(half)))
-    return cables, items.withColumn("title", text.normalise(F.coalesce("title", F.lit("")))).withColumn("qids", F.array_distinct("qids"))
+    halves = F.slice(F.array(*map(F.lit, cats)), F.when(F.col("n") % 2 == 0, 1).otherwise(half + 1), F.lit(half))
+    items = base.filter("source <> 'cablegate'").select("doc_id", "date", halves.alias("topics"), text.normalise(F.coalesce("title", F.lit(""))).alias("title"))
+    return [x.join(named, "doc_id").withColumn("qids", F.array_distinct("qids")) for x in (cables, items)]
 
 
 HALF = len({c for x in temporal.CROSSWALK.values() for c in x}) // 2
